@@ -1,0 +1,36 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it back: the files outlive
+any executor, and a later stage starts from them instead of recomputing. Only where the setting is absent (a local
+test session) does a folder of this process take its place.
+"""
+
+from __future__ import annotations
+
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tessera-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder as a URI, without a trailing slash."""
+    conf = spark.sparkContext.getConf()
+    return (conf.get("spark.checkpoint.dir") or _own_folder()).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
