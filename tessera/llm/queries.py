@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, sharding, simhash, substring_dedup, toxicity
+from tessera.llm import decontaminate, mixing, sharding, simhash, substring_dedup, toxicity, warc
 from tessera.llm.store import stage
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
@@ -53,5 +57,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_toxicity, op6_mixing, op8_sharding, op9_substring_dedup, op10_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_decontaminate, op5_toxicity, op6_mixing, op8_sharding, op9_substring_dedup, op10_simhash)}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM m
+    """,
+    "op4_decontaminate": """
+        WITH dw AS (
+            SELECT doc_id, words FROM (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents)),
+        bw AS (
+            SELECT item_id, words, least(10, len(words)) AS k FROM (
+                SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark) WHERE len(words) > 0),
+        b AS (SELECT DISTINCT item_id, k, words[i + 1 : i + k] AS win FROM (SELECT *, unnest(range(len(words) - k + 1)) AS i FROM bw)),
+        ks AS (SELECT DISTINCT k FROM b),
+        dwin AS (SELECT doc_id, k, i, words[i + 1 : i + k] AS win FROM (
+            SELECT doc_id, words, k, unnest(range(len(words) - k + 1)) AS i FROM dw CROSS JOIN ks WHERE len(words) >= k)),
+        h AS (SELECT doc_id, item_id, i, k FROM dwin JOIN b USING (k, win)),
+        hit AS (SELECT doc_id, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY 1),
+        it AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY 1)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + 50], ' ') AS win FROM (SELECT *, unnest(range(len(words) - 49)) AS i FROM d WHERE len(words) >= 50)),
+        f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM w JOIN f USING (win) WHERE first < doc_id),
+        g AS (SELECT doc_id, list(pos) AS ps FROM gone GROUP BY 1)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN ps IS NULL THEN array_to_string(words, ' ') ELSE array_to_string(list_filter(words, lambda x, i: NOT list_contains(ps, i - 1)), ' ') END) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
+}

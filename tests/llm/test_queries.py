@@ -82,3 +82,31 @@ def test_toxicity(spark, where):
     for d, held, score, predicted in got:
         assert held == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2)
         assert 0 <= score <= 1 and predicted == int(score >= 0.3)
+
+
+def test_warc(spark, where):
+    pages = table(spark, where, "pages", "page_id", "html")
+    first, want = {}, []
+    for page, html in pages:
+        if page is not None:
+            first[html or ""] = min(first.get(html or "", page), page)
+    for page, html in pages:
+        data = (html or "").encode()
+        to = first.get(html or "") if len(data) >= 100 else None
+        to = None if to == page else to
+        want.append((page, len(data), brute.sha(data), "response" if to is None else "revisit", to))
+    assert Counter(run(spark, where, "op2_")) == Counter(want)
+
+
+def test_warc_pushdown(spark, where):
+    """Predicates on headers reach the reader, and payloads that are not asked for are not read."""
+    from tessera.llm import warc
+    from tessera.llm.store import new_path
+
+    path = new_path(spark, "archive")
+    warc.write(spark.read.parquet(f"{where}/pages.parquet").select("page_id", "url", "html"), path)
+    one = warc.read(spark, path).filter("record_type = 'response' AND page_id = '5'")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "= response" not in plan and "= 5" not in plan
+    assert [r["page_id"] for r in one.collect()] == ["5"]
+    assert all(r["payload"] is None for r in warc.read(spark, path, payload=False).collect())
