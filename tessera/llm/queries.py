@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, sharding, simhash, substring_dedup, toxicity, warc
+from tessera.llm import decontaminate, media, mixing, sharding, simhash, substring_dedup, toxicity, warc
 from tessera.llm.store import stage
 
 
@@ -13,6 +13,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.store(docs).withColumn("n_bytes", F.length(F.coalesce("text", F.lit("")).cast("binary")).cast("long")).drop("text")
+    return media.read(stored).select(
+        "doc_id", "n_bytes", "decoded.payload_bytes", "decoded.payload_sha256", "decoded.tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "decoded.feature",
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -57,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_decontaminate, op5_toxicity, op6_mixing, op8_sharding, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op4_decontaminate, op5_toxicity, op6_mixing, op8_sharding, op9_substring_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
