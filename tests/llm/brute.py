@@ -116,3 +116,49 @@ def targets(sizes, weights=(5, 2, 1), epochs=1.5, most=2):
 
 def crc(s):
     return zlib.crc32((s or "").encode())
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+def pii(text):
+    """kind -> base spans."""
+    out = {}
+    for kind, pattern in PII.items():
+        out[kind] = []
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            out[kind].append((m.start(), m.end()))
+    return out
+
+
+def bigrams(text):
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    return Counter(zip(w, w[1:], strict=False))
+
+
+def licenses(text, templates, threshold=0.8):
+    best = {}
+    text = text or ""
+    for part in {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}:
+        a = bigrams(part)
+        for name, template in templates:
+            b = bigrams(template)
+            if a and (dice := 2 * (a & b).total() / (a.total() + b.total())) >= threshold:
+                best[name] = max(best.get(name, 0), dice)
+    return best

@@ -110,3 +110,58 @@ def test_warc_pushdown(spark, where):
     assert "= response" not in plan and "= 5" not in plan
     assert [r["page_id"] for r in one.collect()] == ["5"]
     assert all(r["payload"] is None for r in warc.read(spark, path, payload=False).collect())
+
+
+HARD_PII = [
+    "a@b.c%d@e.f x..y@z.co-m.uk. @no.pe a@b a@@b.c é@ü.de mail:ü.x@y.zz",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.02.0003.255 1.2.3 9.9.9.9é 1.1.1.1.",
+    "4111 1111 1111 1111 4111-1111-1111-1111, 4111  1111 41111111111111112 378282246310005 0000000000000000",
+    "+1 (555) 010-9999 +1+2 +12 34 56 78 90 12 34 56 +4930 12345678- +1 2 é😀+33 1 23 45 67 89",
+    "call 555-123-4567 now; order 555-123-4567; me (at) site (dot) com; card 4111.1111.1111.1111; fe80:0:0:0:1:2:3:4",
+    "5" * 5000, "a" * 50_000 + "@", "a@" * 3000, "+" * 2000 + "1", "1.2.3.4 " * 800, None, "",
+]
+
+
+def test_pii(spark, where, hard_dir):
+    from tessera.llm import pii
+
+    docs = table(spark, where, "documents", "doc_id", "text")
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)] + [(1000 + i, t) for i, t in enumerate(HARD_PII)], "id long, text string")
+    texts = {r["id"]: r["text"] for r in frame.collect()}
+    for r in pii.spans(frame).collect():
+        want = brute.pii(texts[r["id"]])
+        base = [(s["kind"], s["start"], s["end"]) for s in r["base"]]
+        assert base == [(k, b, e) for k, name in enumerate(pii.KINDS) for b, e in sorted(want[name])], texts[r["id"]][:80]
+        everything = [(s["kind"], s["start"], s["end"]) for s in r["spans"]]
+        assert set(base) <= set(everything) and everything == sorted(everything)
+    got = run(spark, where, "op3_")
+    by = Counter()
+    for d, t in docs:
+        f = brute.pii(t)
+        by[(d, *[len(f[k]) for k in pii.KINDS], brute.sha(",".join(f"{k}:{b}:{e}" for k in pii.KINDS for b, e in sorted(f[k]))))] += 1
+    assert Counter(r[:6] for r in got) == by
+
+
+def test_pii_learns(spark):
+    """Loose candidates with cues are taken, those with counter-evidence are left; redaction covers them."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import pii
+
+    texts = [(i, f"x{i} please call 555-123-{1000 + i} today, or mail a{i}@b.com") for i in range(60)] + [(100 + i, f"order 155-000-{1000 + i}x7 page") for i in range(60)]
+    frame = spark.createDataFrame(texts, "id long, text string")
+    rows = {r["id"]: r["spans"] for r in pii.spans(frame).collect()}
+    assert all(len(rows[i]) == 2 for i in range(60)) and not any(rows[100 + i] for i in range(60))
+    red = pii.spans(frame).join(frame, "id").withColumn("r", pii.redact()).filter("id = 3").first()["r"]
+    assert red == "x3 please call <phone> today, or mail <email>"
+
+
+def test_licenses(spark, where):
+    from tessera.llm import licenses
+
+    docs = table(spark, where, "documents", "doc_id", "text")
+    extra = [t for _, t in licenses.TEMPLATES] + ["x\n" + licenses.TEMPLATES[3][1].replace(". ", ".\n") + "\n\nmore", "Released under MIT License.", licenses.TEMPLATES[5][1] * 2, "all rights reserved all rights reserved"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in docs] + extra)], "id long, text string")
+    for r in licenses.scan(frame).collect():
+        want = brute.licenses(r["text"], licenses.TEMPLATES)
+        assert {x["license"]: round(x["dice"], 9) for x in r["licenses"]} == {k: round(v, 9) for k, v in want.items()}, r["text"][:80]
