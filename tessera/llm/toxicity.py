@@ -80,7 +80,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(lists: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 12, batch: int = 128, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> Model:
+def fit(lists: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 16, batch: int = 128, rate: float = 0.25, l2: float = 2e-5, seed: int = 7) -> Model:
     """AdaGrad on the log loss, over shuffled batches; the same input gives the same model."""
     n = len(y)
     share = float(y.mean()) if n else 0.5
