@@ -109,7 +109,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = stage(docs.select("row", "text").join(read, "row").select("doc", "text", "paths").mapInArrow(_windows, "edge long, window long, span long, doc long, j short"), "windows")
     least = single.groupBy("edge", "window").agg(F.min("doc").alias("m"), F.max("doc").alias("hi")).filter("m < hi")
     partly = single.join(least, ["edge", "window"]).filter("m < doc").groupBy("edge", "span").agg(F.collect_set("j").alias("offsets"))
-    of_path = paths.select("edge", "span", F.col("doc").alias("m")).join(partly, ["edge", "span"], "left")
+    # written, so that the next join starts from two exchanges and a path with very many occurrences can be split
+    of_path = stage(paths.select("edge", "span", F.col("doc").alias("m")).join(partly, ["edge", "span"], "left"), "cuts")
     cut = kept.join(of_path, ["edge", "span"]).filter("doc > m OR offsets IS NOT NULL")
     return cut.groupBy("row").agg(F.collect_list(F.struct("first", "n", F.when(F.col("doc") > F.col("m"), F.lit(None)).otherwise(F.col("offsets")).alias("offsets"))).alias("spans"))
 
