@@ -80,30 +80,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(lists: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int = 16, batch: int = 128, rate: float = 0.25, l2: float = 2e-5, seed: int = 7) -> Model:
-    """AdaGrad on the log loss, over shuffled batches; the same input gives the same model."""
+def fit(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, rank: int = RANK, rounds: int = 16, batch: int = 128, rate: float = 0.25, l2: float = 2e-5, seed: int = 7) -> Model:
+    """AdaGrad on the log loss, over shuffled batches; the same input gives the same model. ``flat`` holds the terms of all
+    texts, one after the other."""
     n = len(y)
     share = float(y.mean()) if n else 0.5
     none = np.empty(0, np.int32)
     if share in (0.0, 1.0) or not n:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(float(np.log(share / (1 - share))), none, np.empty(0), np.empty((0, rank)))
-    flat, who = np.concatenate(lists), np.repeat(np.arange(n), [len(x) for x in lists])
-    ids, col = np.unique(flat, return_inverse=True)
-    docs = np.bincount(col)
-    ones = np.bincount(col, y[who])
+    ids, docs = np.unique(flat, return_counts=True)
+    often = docs >= MIN_DOCS
+    ids, docs = ids[often], docs[often]
+    found, times = np.unique(flat[np.repeat(y > 0, lengths)], return_counts=True)
+    ones = np.zeros(len(ids), np.int64)
+    both = np.isin(found, ids, assume_unique=True)
+    ones[np.searchsorted(ids, found[both])] = times[both]
     odds = np.log((ones + 0.5) / (docs - ones + 0.5)) - np.log(share / (1 - share))
-    strength = np.abs(odds) * np.sqrt(docs)
-    use = np.flatnonzero(docs >= MIN_DOCS)
-    use = np.sort(use[np.argsort(-strength[use], kind="stable")[:TERMS]])
-    to = np.full(len(ids), -1)
-    to[use] = np.arange(len(use))
-    known = to[col] >= 0
-    col, who = to[col[known]], who[known]
+    use = np.sort(np.argsort(-np.abs(odds) * np.sqrt(docs), kind="stable")[:TERMS])
+    ids = ids[use]
+    if not len(ids):
+        return Model(float(np.log(share / (1 - share))), none, np.empty(0), np.empty((0, rank)))
+    ends = np.cumsum(lengths)
+    col_parts, who_parts = [], []
+    for s in range(0, len(flat), 1 << 18):  # a part at a time, to keep the driver small
+        part = flat[s : s + (1 << 18)]
+        at = np.minimum(np.searchsorted(ids, part), len(ids) - 1)
+        known = np.flatnonzero(ids[at] == part)
+        col_parts.append(at[known].astype(np.int32))
+        who_parts.append(np.searchsorted(ends, s + known, side="right").astype(np.int32))
+    col, who = np.concatenate(col_parts or [none]), np.concatenate(who_parts or [none])
     first = np.searchsorted(who, np.arange(n + 1))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(use)), rng.normal(0, 0.01, (len(use), rank))
-    b, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(use), 1e-2), np.full((len(use), rank), 1e-2), 1e-2
+    w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), rank))
+    b, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(ids), 1e-2), np.full((len(ids), rank), 1e-2), 1e-2
     for _ in range(rounds):
         order = rng.permutation(n)
         for s in range(0, n, batch):
@@ -124,7 +134,7 @@ def fit(lists: list[np.ndarray], y: np.ndarray, rank: int = RANK, rounds: int =
             v[touched] -= 0.1 * rate * dv / np.sqrt(gv[touched])
             gb += g.mean() ** 2
             b -= 0.1 * rate * g.mean() / np.sqrt(gb)
-    return Model(b, ids[use], w, v)
+    return Model(b, ids, w, v)
 
 
 def held_out() -> Column:
@@ -140,8 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms(F.coalesce("text", F.lit(""))).alias("terms"))
     got = rows.orderBy(*pick, F.xxhash64("terms")).limit(sample).toArrow()
     y = got["toxic"].to_numpy().astype(float)
-    lists = [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in got["terms"]]
-    return fit(lists, y)
+    lists = got["terms"].combine_chunks()
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    model = fit(lists.flatten().to_numpy(zero_copy_only=False), lengths, y)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
