@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("analytics",)
+MODULES = ("analytics", "joins", "graph")
 
 
 def all_queries() -> dict:
