@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("analytics", "joins", "graph")
+MODULES = ("analytics", "joins", "graph", "retrieval", "learning", "tools")
 
 
 def all_queries() -> dict:
