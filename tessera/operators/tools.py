@@ -20,7 +20,7 @@ METRICS = {
 }
 PLAN_NODES = {
     "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Distinct", "Union", "Window", "SubqueryAlias", "View", "Generate", "Expand", "Intersect", "Except", "OneRowRelation",
-    "LocalRelation", "UnresolvedSubqueryColumnAliases", "WithCTE", "CTERelationDef", "CTERelationRef", "LogicalRelation", "LogicalRDD", "Relation", "Pivot", "Unpivot", "Tail", "Offset", "RebalancePartitions",
+    "LocalRelation", "UnresolvedSubqueryColumnAliases", "WithCTE", "CTERelationDef", "CTERelationRef", "LogicalRelation", "LogicalRDD", "Relation", "Range", "Pivot", "Unpivot", "Tail", "Offset", "RebalancePartitions",
 }
 
 
@@ -66,6 +66,15 @@ def _plain(sql: str) -> str:
     return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)
 
 
+def _nodes(plan):
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        yield node
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+
+
 def guarded_sql(spark: SparkSession, sql: str, cap: int = 200, seconds: float = 5.0, views: set[str] | None = None) -> tuple[list, bool]:
     """(Rows, whether there are more) of one SELECT over registered views.
 
@@ -76,17 +85,18 @@ def guarded_sql(spark: SparkSession, sql: str, cap: int = 200, seconds: float =
         raise Refused("one SELECT or WITH statement only")
     if re.search(r"(?i)\b(reflect|java_method|read_files|input_file_name|try_reflect|python)\b|\b(parquet|csv|json|orc|text|binaryfile|avro|delta)\s*\.", sql):
         raise Refused("files and foreign calls are out of reach")
-    df = spark.sql(sql.strip().rstrip(";"))
-    plan = df._jdf.queryExecution().analyzed()
-    stack = [plan]
-    while stack:
-        node = stack.pop()
+    statement = sql.strip().rstrip(";")
+    # parsed before anything runs, since a session runs commands as soon as it has analysed them
+    for node in _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)):
+        name = node.nodeName().lstrip("'").split(" ")[0]
+        if name not in PLAN_NODES and not (name.startswith("Unresolved") and "Function" not in name):
+            raise Refused(f"{name} isn't part of a query")
+    df = spark.sql(statement)
+    for node in _nodes(df._jdf.queryExecution().analyzed()):
         if (name := node.nodeName().split(" ")[0]) not in PLAN_NODES:
             raise Refused(f"{name} isn't part of a query")
-        children = node.children()
-        stack += [children.apply(i) for i in range(children.size())]
-        if name == "SubqueryAlias" and views is not None and not str(node.alias()).startswith("__") and node.child().nodeName() == "View" and str(node.alias()).lower() not in views:
-            raise Refused(f"no such view: {node.alias()}")
+        if name == "View" and views is not None and str(node.desc().identifier().table()).lower() not in views:
+            raise Refused(f"no such view: {node.desc().identifier().table()}")
     tag = f"guard-{threading.get_ident()}-{id(df)}"
     spark.addTag(tag)
     timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
