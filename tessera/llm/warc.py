@@ -5,8 +5,8 @@ and the payload, and the CRLF CRLF that ends a record is the writer's line separ
 holds is not written again: a ``revisit`` record points to that record.
 
 Reading: one partition a file. The reader takes over equality and IN predicates on the record type and on the header
-columns; it parses a record's headers first and seeks past the payload by its Content-Length if the predicates drop the
-record or the payload is not asked for (``payload=false``).
+columns; it parses a record's headers first and skips the payload by its Content-Length (a seek in plain files; gzip is read on) if the predicates drop
+the record or the payload is not asked for (``payload=false``).
 
 Nulls and edge cases: a null html is an empty payload; null page_ids and urls have no header and read as null. Line
 breaks in a url become a space. Payloads may hold anything, record headers too: lengths alone tell where they end. Rows
@@ -82,12 +82,24 @@ def records(planned: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = 50_000) -> None:
-    records(plan(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    records(plan(pages)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 # Reading
 
 
+def _skip(stream, n: int) -> None:
+    """Past a payload: by a seek where the file allows it, else in pieces that are dropped at once."""
+    if stream.seekable():
+        stream.seek(n, io.SEEK_CUR)
+        return
+    while n > 0:
+        got = len(stream.read(min(n, 1 << 20)))
+        if not got:
+            raise ValueError("the last record is cut off")
+        n -= got
+
+
 def parse(stream, wanted, payload: bool) -> Iterator[tuple[dict, int, bytes | None]]:
     """(Headers, content length, payload) of the records that ``wanted`` accepts by their headers."""
     while version := stream.readline():
@@ -101,9 +113,9 @@ def parse(stream, wanted, payload: bool) -> Iterator[tuple[dict, int, bytes | No
             headers[key.strip().lower()] = value.strip()
         n = int(headers.get("content-length", 0))
         if not wanted(headers):
-            stream.seek(n, io.SEEK_CUR)
+            _skip(stream, n)
         elif not payload:
-            stream.seek(n, io.SEEK_CUR)
+            _skip(stream, n)
             yield headers, n, None
         else:
             body = stream.read(n)
@@ -159,7 +171,8 @@ class WarcReader(DataSourceReader):
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-        with io.BufferedReader(system.open_input_file(path), 1 << 20) as stream:
+        opened = system.open_input_stream(path, compression="gzip") if path.endswith(".gz") else system.open_input_file(path)
+        with io.BufferedReader(opened, 1 << 20) as stream:
             for headers, n, body in parse(stream, wanted, self.payload):
                 rows.append((*(headers.get(names[c]) for c in HEADERS), n, body))
                 size += 300 + len(body or b"")
