@@ -5,6 +5,9 @@ segment to a template is ``2 * common / (a + b)`` over their bags of word bigram
 unless ``t / (2 - t) * b <= a <= (2 - t) / t * b``; so the number of words alone leaves few templates to a segment, or
 none. Of those left, the distinct common bigrams bound the similarity once more before repeats are counted.
 
+Before any of that, a text or segment has to hold one of a few words: a segment that reaches t shares at least
+``t / (2 - t) * b`` of a template's bigrams, so it cannot lack all words of a set that touches more than the rest.
+
 Everything happens within a row: no shuffle, and copies or hot lines cost no more than their own rows.
 
 Nulls and edge cases: a null or empty text has no segment. A segment or template of one word has no bigram and never
@@ -74,6 +77,35 @@ def prepared(templates: list[tuple[str, str]], threshold: float = THRESHOLD) ->
     return out
 
 
+def anchors(ready: list[tuple], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every segment that reaches the threshold holds at least one."""
+    import math
+
+    chosen: list[str] = []
+    for _, bigrams, lo, _ in ready:
+        need = math.ceil(lo - 1e-9)  # of the template's bigrams
+        missing, left = 0, list(bigrams)
+        words_ = dict.fromkeys(w for g in bigrams for w in g.split())
+        for w in sorted(words_, key=lambda w: (w not in chosen, -len(w))):
+            hit = [g for g in left if w in g.split()]
+            if missing > len(bigrams) - need:
+                break
+            if hit:
+                missing += len(hit)
+                left = [g for g in left if g not in hit]
+                if w not in chosen:
+                    chosen.append(w)
+    return sorted(w for w in chosen if not any(o != w and o in w for o in chosen))
+
+
+def _pattern(chosen: list[str]) -> str:
+    """One regular expression for all the words, by first letter."""
+    by: dict[str, list[str]] = {}
+    for w in chosen:
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by.items()))
+
+
 def _equals(value: str):
     return lambda x: x == value
 
@@ -97,7 +129,9 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     within = lambda n, lo, hi: (n >= lo) & (n <= hi)
     count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))  # noqa: E731  bigrams of a segment
     fits = lambda s: F.when(F.length(s) > 0, _any([within(count(s), lo, hi) for _, _, lo, hi in ready])).otherwise(False)
-    kept = docs.withColumn("__segments", F.filter(segments(F.coalesce(F.col(text), F.lit(""))), fits))
+    pattern = _pattern(anchors(ready, threshold))
+    value = F.when(F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(pattern), F.col(text)).otherwise("")
+    kept = docs.withColumn("__text", value).withColumn("__segments", F.filter(segments(F.col("__text")), lambda s: F.when(fits(s), s.rlike(pattern)).otherwise(False)))
     split = lambda s: F.split(s, " ")
     bigrams = F.transform("__segments", lambda s: F.zip_with(F.slice(split(s), F.lit(1), F.size(split(s)) - 1), F.slice(split(s), F.lit(2), F.size(split(s)) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     paired = kept.withColumn("__bigrams", F.transform(bigrams, lambda b: F.struct(b.alias("b"), F.array_distinct(b).alias("d"))))
@@ -112,7 +146,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     for name in sorted({r[0] for r in ready}):
         own = [F.element_at("__scores", i + 1) for i, r in enumerate(ready) if r[0] == name]
         best.append(F.struct(F.lit(name).alias("license"), (F.greatest(*own) if len(own) > 1 else own[0]).alias("dice")))
-    return scored.withColumn("licenses", F.filter(F.array(*best), lambda x: x["dice"] >= threshold)).drop("__segments", "__bigrams", "__scores")
+    return scored.withColumn("licenses", F.filter(F.array(*best), lambda x: x["dice"] >= threshold)).drop("__text", "__segments", "__bigrams", "__scores")
 
 
 def _any(conditions: list[Column]) -> Column:
