@@ -98,10 +98,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans) for documents with words to remove; docs has row, doc_id and text. A span is (first word, windows,
+    """What aggregates yield is written before it is joined back: a join that starts from two plain exchanges can be split
+    where one key has very many rows.
+
+    (row, spans) for documents with words to remove; docs has row, doc_id and text. A span is (first word, windows,
     and the offsets of the repeated windows or null for all)."""
     found = stage(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("row", "doc_id", "text").mapInArrow(_occurrences, "edge long, span long, row long, doc long, first int, n short"), "occurrences")
-    shared = found.groupBy("edge").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("edge")
+    shared = stage(found.groupBy("edge").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("edge"), "edges")
     kept = stage(found.join(shared, "edge", "left_semi"), "repeated")
     paths = stage(kept.groupBy("edge", "span").agg(F.min(F.struct("doc", "row", "first", "n")).alias("p")).select("edge", "span", "p.*"), "paths")
     branching = paths.groupBy("edge").agg(F.count("*").alias("c")).filter("c > 1").select("edge")
@@ -109,7 +112,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     single = stage(docs.select("row", "text").join(read, "row").select("doc", "text", "paths").mapInArrow(_windows, "edge long, window long, span long, doc long, j short"), "windows")
     least = single.groupBy("edge", "window").agg(F.min("doc").alias("m"), F.max("doc").alias("hi")).filter("m < hi")
     partly = single.join(least, ["edge", "window"]).filter("m < doc").groupBy("edge", "span").agg(F.collect_set("j").alias("offsets"))
-    # written, so that the next join starts from two exchanges and a path with very many occurrences can be split
     of_path = stage(paths.select("edge", "span", F.col("doc").alias("m")).join(partly, ["edge", "span"], "left"), "cuts")
     cut = kept.join(of_path, ["edge", "span"]).filter("doc > m OR offsets IS NOT NULL")
     return cut.groupBy("row").agg(F.collect_list(F.struct("first", "n", F.when(F.col("doc") > F.col("m"), F.lit(None)).otherwise(F.col("offsets")).alias("offsets"))).alias("spans"))
