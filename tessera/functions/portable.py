@@ -34,8 +34,8 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    left = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.transform(left, lambda w, i: F.concat(w, F.lit("_"), F.get(words, i + 1)))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit("_"), b))
 
 
 def all_words(text: Column, words: list[str]) -> Column:
