@@ -11,7 +11,7 @@ span classifier over votes and length, fitted to the same counts. That classifie
 base spans stay as they are. Its weights enter the plan as literals, so a text is judged where its candidates are.
 
 Positions: a pattern's matches and the pieces between them, both from one pass of the regex engine each, give every
-offset as a running sum of lengths in code points. Patterns use possessive repeats and refuse to start inside a run, so
+offset as a running sum of lengths in code points, taken in blocks so that many matches in one text stay cheap. Patterns use possessive repeats and refuse to start inside a run, so
 no text makes them backtrack; ``\\G`` lets a match start where the last one ended.
 
 Nulls and edge cases: a null text is empty and has no spans. Without candidates nothing is fitted and nothing added. Repeated rows
@@ -30,11 +30,12 @@ from tessera.plans.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Strict patterns, as given, in a form that cannot backtrack.
+#: Strict patterns, as given, in a form that cannot backtrack. A match of the card pattern is always a whole run of
+#: digits, so runs of other than 16 to 19 digits are passed over here already.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -59,6 +60,8 @@ CUES = {
 }
 AGAINST = r"(?i)version|\bv\.?$|build|isbn|issn|order|invoice|serial|\bno\.?$|section|chapter|figure|table|page|release|\bsku\b|\bdoi\b"
 CUE_CHARS = 40
+#: Matches a block of the running sums.
+BLOCK = 64
 VOTES = ("shape", "gazetteer", "cue", "border")
 ROUNDS = 50
 
@@ -99,20 +102,37 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of bigint. An accumulator that holds an array would be copied at every step; here a sum is
+    over the whole blocks before an element's own and the elements of that block up to it."""
+
+    def sums(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, lambda bs: _let(F.transform(bs, _sum), lambda totals: F.flatten(F.transform(bs, lambda b, k: _let(_sum(F.slice(totals, F.lit(1), k)), lambda low: F.transform(b, lambda _, j: low + _sum(F.slice(b, F.lit(1), j + 1))))))))
+
+    return _let(values, sums)
+
+
 def _found(kind: str, base: bool, matches: Column, pieces: Column) -> Column:
     """Candidates of one pattern from its matches and the pieces around them."""
     yes, no = GAZETTEER[kind]
     around = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, before: F.struct(m.alias("m"), before.alias("b")))
     around = F.zip_with(around, F.slice(pieces, F.lit(2), F.size(matches)), lambda x, after: F.struct(x["m"].alias("m"), x["b"].alias("b"), after.alias("a")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,m:string,b:string,a:string>>").alias("out"))
+    ends = _running(F.transform(around, lambda x: (F.length(x["b"]) + F.length(x["m"])).cast("long")))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["b"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["b"], F.lit(CUE_CHARS)).alias("b"), F.left(x["a"], F.lit(1)).alias("a"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def place(x, end):
+        return F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["b"], F.lit(CUE_CHARS)).alias("b"), F.left(x["a"], F.lit(1)).alias("a"))
 
-    placed = F.aggregate(around, start, step, lambda acc: acc["out"])
+    placed = F.zip_with(around, ends, place)
     good = F.filter(placed, lambda c: strict(kind, c["m"])) if base else placed
     return F.transform(
         good,

@@ -119,6 +119,7 @@ HARD_PII = [
     "+1 (555) 010-9999 +1+2 +12 34 56 78 90 12 34 56 +4930 12345678- +1 2 é😀+33 1 23 45 67 89",
     "call 555-123-4567 now; order 555-123-4567; me (at) site (dot) com; card 4111.1111.1111.1111; fe80:0:0:0:1:2:3:4",
     "5" * 5000, "a" * 3_000 + "@", "a@" * 3000, "+" * 2000 + "1", "1.2.3.4 " * 800, None, "",
+    "é1.2.3.4 4111 1111 1111 1111, x@y.zz " * 5000, "12 34  " * 20000, "4111 1111 1111 1111  4111 1111 1111 1111 1 4111111111111111-",
 ]
 
 
