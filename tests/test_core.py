@@ -117,3 +117,13 @@ def test_rows_only(spark, sf, name):
 def test_guard_query(spark, sf):
     got = {r["statement"]: r["outcome"] for r in all_queries()["sql_guard"](spark, sf).collect()}
     assert got["SELECT count(*) FROM pubs"] == "ok" and sorted(got.values()).count("refused") == 4
+
+
+def test_evaluation(spark):
+    from tessera.functions import evaluation
+
+    mean, low, high = evaluation.bootstrap([0, 1] * 50, resamples=500)
+    assert mean == 0.5 and 0.35 < low < 0.5 < high < 0.65
+    assert evaluation.sign_test(5, 0) == 2 / 32 and evaluation.sign_test(3, 3) == 1.0 == evaluation.sign_test(0, 0)
+    df = spark.createDataFrame([("the cat sat", "the cat lay"), (None, "x"), ("a b c", "c a b")], "a string, b string")
+    assert [round(r[0], 6) for r in df.select(evaluation.rouge_l("a", "b")).collect()] == [0.666667, 0.0, 0.666667]
