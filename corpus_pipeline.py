@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, sharding, simhash, toxicity
+from tessera.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from tessera.plans.staging import stage
 
 
@@ -22,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id, and the first of its rows."""
+    """One document of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays: that
+    with the smallest doc_id, and the first of its rows."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = stage(simhash.fingerprints(rows.select("__row", "doc_id", "text")).select("__row", "doc_id", "fp"), "prints")
-    found = stage(simhash.near_duplicates(prints).select("__row", "doc_id", "root"), "groups")
+    found = stage(near_copies.near_copies(rows.select(F.col("__row").alias("row"), "doc_id", "text")).withColumnRenamed("row", "__row"), "groups")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
     gone = found.select("__row").join(first, "__row", "left_anti")
     return rows.join(gone, "__row", "left_anti").drop("__row")
