@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import bucket, jaro_winkler, share, tokens
-from tessera.operators.joins import GRAPH_CTES, _features
+from tessera.operators.joins import ANCHOR_BUCKETS, GRAPH_CTES, _features
 from tessera.operators.retrieval import COSINE, cosine_top
 from tessera.plans.tables import Query, Tables
 
@@ -138,18 +138,18 @@ def _nb(t: Tables) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
-def _rank_metrics(t: Tables) -> DataFrame:
+def _rank_metrics(t: Tables, buckets: int = 1) -> DataFrame:
     """MRR, hits and precision of candidate links ordered by Adamic-Adar, ties by a hash."""
     jitter = F.md5(F.concat(col("a").cast("string"), F.lit("-"), col("b").cast("string")))
     w = Window.partitionBy("a").orderBy(F.round("adamic", 6).desc(), jitter)
-    r = _features(t).withColumn("rank", F.row_number().over(w))
+    r = _features(t, buckets).withColumn("rank", F.row_number().over(w))
     per = r.groupBy("a").agg(F.min(F.when(col("y") == 1, col("rank"))).alias("first"), F.sum(F.when(col("rank") <= 5, col("y"))).alias("top"), F.sum("y").alias("all")).filter(col("all") > 0)
     return per.agg(F.count("*").alias("queries"), F.avg(1.0 / col("first")).alias("mrr"), F.avg((col("first") <= 5).cast("int")).alias("hits5"), F.avg(col("top") / 5).alias("p5"))
 
 
-def _calibration(t: Tables) -> DataFrame:
+def _calibration(t: Tables, buckets: int = 1) -> DataFrame:
     """How often candidates come true, by bins of their Jaccard similarity."""
-    return _features(t).groupBy(F.least(F.floor(col("jaccard") * 50 + 1e-9), F.lit(9)).alias("bin")).agg(F.count("*").alias("pairs"), F.avg("y").alias("came"))
+    return _features(t, buckets).groupBy(F.least(F.floor(col("jaccard") * 50 + 1e-9), F.lit(9)).alias("bin")).agg(F.count("*").alias("pairs"), F.avg("y").alias("came"))
 
 
 def bcubed(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -236,11 +236,13 @@ QUERIES = {
     "wilson": Query("venue:s n:l low:d high:d", _wilson, "SELECT venue, n, (p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS low, (p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS high FROM (SELECT venue, count(*)::DOUBLE AS n, avg(has_oa::INT) AS p, 1.959964::DOUBLE AS z FROM pubs GROUP BY 1)"),
     "pair_features": Query("person_a:l person_b:l shared:l venues:l gap:l na:l nb:l", pair_features, "SELECT a.person AS person_a, b.person AS person_b, len(list_intersect(a.others, b.others)) AS shared, len(list_intersect(a.venues, b.venues)) AS venues, greatest(0, greatest(a.first, b.first) - least(a.last, b.last)) AS gap, len(a.others) AS na, len(b.others) AS nb FROM x a JOIN x b ON a.name = b.name AND a.person < b.person", "w AS (SELECT a.person, list(DISTINCT b.person) AS others FROM authored a JOIN authored b ON a.pid = b.pid AND a.person <> b.person GROUP BY 1), o AS (SELECT person, list(DISTINCT venue) AS venues, min(year) AS first, max(year) AS last FROM authored GROUP BY 1), x AS (SELECT name, person, venues, first, last, coalesce(others, []) AS others FROM persons JOIN o USING (person) LEFT JOIN w USING (person) WHERE page_kind = 'numbered')"),
     "nb_centroid_scores": Query("item_id:l source:s score:d known:l rank:l", _nb, "SELECT item_id, source, score, known, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS rank FROM (SELECT item_id, source, round(sum(ln(n + 0.1::DOUBLE) - ln(0.1::DOUBLE) - ln((docs + 1)::DOUBLE)), 6) AS score, count(*) AS known FROM q JOIN n USING (token) JOIN p USING (source) GROUP BY 1, 2) QUALIFY rank <= 5", "e AS (SELECT DISTINCT id, source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM texts), n AS (SELECT token, source, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT source, count(*) AS docs FROM texts GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark)"),
-    "rank_metrics": Query("queries:l mrr:d hits5:d p5:d", _rank_metrics, "SELECT count(*) AS queries, avg(1.0::DOUBLE / first) AS mrr, avg((first <= 5)::INT) AS hits5, avg(top / 5.0::DOUBLE) AS p5 FROM (SELECT a, min(rank) FILTER (y = 1) AS first, sum(y) FILTER (rank <= 5) AS top, sum(y) AS all_ FROM (SELECT c.a, coalesce(f.y, 0) AS y, row_number() OVER (PARTITION BY c.a ORDER BY round(adamic, 6) DESC, md5(c.a::VARCHAR || '-' || c.b::VARCHAR)) AS rank FROM cand c LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b) GROUP BY 1 HAVING sum(y) > 0)", GRAPH_CTES),
-    "calibration": Query("bin:l pairs:l came:d", _calibration, "SELECT least(floor(common / (x.degree + z.degree - common) * 50 + 1e-9), 9) AS bin, count(*) AS pairs, avg(coalesce(f.y, 0)) AS came FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b GROUP BY 1", GRAPH_CTES),
+    "rank_metrics": Query("queries:l mrr:d hits5:d p5:d", lambda t: _rank_metrics(t, ANCHOR_BUCKETS), "SELECT count(*) AS queries, avg(1.0::DOUBLE / first) AS mrr, avg((first <= 5)::INT) AS hits5, avg(top / 5.0::DOUBLE) AS p5 FROM (SELECT a, min(rank) FILTER (y = 1) AS first, sum(y) FILTER (rank <= 5) AS top, sum(y) AS all_ FROM (SELECT c.a, coalesce(f.y, 0) AS y, row_number() OVER (PARTITION BY c.a ORDER BY round(adamic, 6) DESC, md5(c.a::VARCHAR || '-' || c.b::VARCHAR)) AS rank FROM cand c LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b) GROUP BY 1 HAVING sum(y) > 0)", GRAPH_CTES),
+    "calibration": Query("bin:l pairs:l came:d", lambda t: _calibration(t, ANCHOR_BUCKETS), "SELECT least(floor(common / (x.degree + z.degree - common) * 50 + 1e-9), 9) AS bin, count(*) AS pairs, avg(coalesce(f.y, 0)) AS came FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b GROUP BY 1", GRAPH_CTES),
     "bcubed": Query("items:l precision:d recall:d", lambda t: bcubed(t.persons, "name", "brand"), "SELECT sum(n) AS items, sum(n * n / nb) / sum(n) AS precision, sum(n * n / na) / sum(n) AS recall FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY name) AS na, sum(count(*)) OVER (PARTITION BY brand) AS nb FROM persons GROUP BY name, brand)"),
     "vector_precision": Query("want:l neighbours:l precision:d", _vectors, "SELECT want, count(*) AS neighbours, avg((want = label)::INT) AS precision FROM cos GROUP BY 1", COSINE),
     "jaro_resolve": Query("name:s other:s s:d", jaro_resolve, "SELECT a.name, b.name AS other, round(jaro_winkler_similarity(a.name, b.name), 6) AS s FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name AND abs(length(a.name) - length(b.name)) <= 6 WHERE round(jaro_winkler_similarity(a.name, b.name), 6) >= 0.86"),
+    "rank_metrics_all": Query("queries:l mrr:d hits5:d p5:d", _rank_metrics),
+    "calibration_all": Query("bin:l pairs:l came:d", _calibration),
     "gbt_train": Query("a:l b:l y:d p:d", link_model),
     "cluster_blocks": Query("person:l cluster:l", cluster_blocks),
 }
