@@ -1,34 +1,43 @@
-"""Personal data by weak supervision, in DataFrame functions only.
+"""Personal data and secrets by weak supervision, in DataFrame functions only.
 
 Base spans are what the four strict patterns match (``BASE``). Further candidates come from looser patterns
-(``LOOSE``): phone numbers without a plus, spelled-out addresses, cards with other separators, IPv6. Labelers vote on
+(``LOOSE``): phone numbers without a plus, spelled-out addresses, cards with other separators, IPv6, and, as a kind of
+their own without a strict pattern, runs of letters and digits long enough for a key or token. Labelers vote on
 every candidate, base or not: its shape, a gazetteer (country codes, card issuers, top-level domains, reserved
-networks), cue words before it, and what touches it. Each vote is -1, 0 (none) or 1.
+networks, prefixes of keys), cue words before it, and what touches it. Each vote is -1, 0 (none) or 1.
 
-The votes are counted by pattern, a table of at most 4 * 3**4 * 2 * 3 rows. From the counts, expectation-maximisation estimates
-how each labeler votes on true and on false candidates of each kind. Its posteriors are the soft labels of a logistic
-span classifier over votes and length, fitted to the same counts. That classifier decides on the loose candidates;
-base spans stay as they are. Its weights enter the plan as literals, so a text is judged where its candidates are.
+The votes are counted by pattern, a table of at most 5 * 3**4 * 2 * 3 rows. From the counts, expectation-maximisation
+estimates how each labeler votes on true and on false candidates of each kind, drawn towards its votes on all kinds. Its
+posteriors are the soft labels of a logistic span classifier over votes by kind and length, fitted to the same counts. That
+classifier decides on the loose candidates; base spans stay as they are. Its weights enter the plan as literals, so a text
+is judged where its candidates are.
 
 Positions: a pattern's matches and the pieces between them, both from one pass of the regex engine each, give every
-offset as a running sum of lengths in code points, taken in blocks so that many matches in one text stay cheap. Patterns use possessive repeats and refuse to start inside a run, so
-no text makes them backtrack; ``\\G`` lets a match start where the last one ended.
+offset as a running sum of lengths in code points, taken in blocks so that many matches in one text stay cheap. Patterns use
+possessive repeats and refuse to start inside a run, so no text makes them backtrack; ``\\G`` lets a match start where the
+last one ended. Whether a candidate overlaps a base span is found by binary search among the spans of each kind.
 
 Nulls and edge cases: a null text is empty and has no spans. Without candidates nothing is fitted and nothing added. Repeated rows
-get equal results. An empty table gives an empty result.
+get equal results. An empty table gives an empty result. Other columns travel in one struct, so their names cannot clash;
+columns ``base`` and ``spans`` are replaced, and the text is left out.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import kept
+from tessera.llm.ranking import count_below
 from tessera.plans.staging import stage
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds with a strict pattern, then those the method alone finds.
+STRICT = ("email", "ip", "card", "phone")
+KINDS = (*STRICT, "secret")
 
 #: Strict patterns, as given, in a form that cannot backtrack. A match of the card pattern is always a whole run of
 #: digits, so runs of other than 16 to 19 digits are passed over here already.
@@ -43,6 +52,7 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
     "card": r"(?<![0-9./])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9./])",
     "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,512}+={0,2}+(?![A-Za-z0-9_+/=-])",
 }
 
 # Gazetteers and cue words
@@ -50,15 +60,19 @@ GAZETTEER = {
     "email": (r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|au|ch|at|nl|be)$", r"(?i)\.(?:invalid|test|localhost|local)$"),
     "ip": (r"^(?!0\.|127\.|22[4-9]\.|2[34][0-9]\.|25[0-5]\.)", r"^(?:0\.|127\.|22[4-9]\.|2[34][0-9]\.|25[0-5]\.)"),
     "card": (r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)", r"^[01789]"),
+    "secret": (r"^(?:gh[oprsu]_|github_pat_|A[KS]IA|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-)|^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$", r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[A-Za-z]+[-_][0-9]+$|^[A-Za-z_-]{12,}[0-9]{1,4}$"),
     "phone": (r"^\+?(?:1|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])\b|^\([2-9]|^[2-9]", r"^\+?0|^\(?[01]"),
 }
 CUES = {
     "email": r"(?i)mail|contact|write|kontakt|schreib|correo|courriel|\bto:|from:",
     "ip": r"(?i)\bip\b|address|host|server|login|from|client",
     "card": r"(?i)card|visa|master|amex|credit|debit|payment|karte|carte|tarjeta",
+    "secret": r"(?i)token|secret|passw|api[ _-]?key|access[ _-]?key|private[ _-]?key|\bauth|bearer|credential|clave|schl[uü]ssel|passwort",
     "phone": r"(?i)\btel|phone|call|mobile|\bcell|fax|sms|whatsapp|anruf|llam|appel",
 }
+#: Words that speak against any kind, and against one.
 AGAINST = r"(?i)version|\bv\.?$|build|isbn|issn|order|invoice|serial|\bno\.?$|section|chapter|figure|table|page|release|\bsku\b|\bdoi\b"
+AGAINST_KIND = {"secret": r"|(?i)commit|\bsha-?[0-9]|\bhash|checksum|\bmd5|etag|uuid|revision|digest|https?:|www\."}
 CUE_CHARS = 40
 #: Matches a block of the running sums.
 BLOCK = 64
@@ -91,6 +105,9 @@ def _shape(kind: str, match: Column) -> Column:
         ok = F.when(n.between(16, 19), _luhn(_digits(match))).otherwise(False)
     elif kind == "phone":
         ok = n.between(8, 15) & ~match.rlike(r"([0-9])\1{6}")
+    elif kind == "secret":
+        rest = lambda c: F.length(F.regexp_replace(match, c, ""))  # noqa: E731  characters that are left without these
+        ok = (4 * (F.length(match) - rest("[0-9]")) >= F.length(match)) | ((F.length(match) > rest("[0-9]")) & (F.length(match) > rest("[a-z]")) & (F.length(match) > rest("[A-Z]")))
     elif kind == "email":
         ok = ~match.rlike(r"^[._%+-]|[.]{2}|-$")
     else:
@@ -98,6 +115,13 @@ def _shape(kind: str, match: Column) -> Column:
     return F.when(ok, 1).otherwise(-1)
 
 
+def _border(kind: str, before: Column, after: Column) -> Column:
+    """Votes on what touches the match: letters and digits for kinds that stand alone, quotes and assignments for secrets."""
+    if kind == "secret":
+        return F.when(before.rlike(r"[=:]\s*[\"'`]?$") | (before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")), 1).when(before.rlike(r"[./@#&?]$") | after.rlike(r"^[@.]"), -1).otherwise(0)
+    return F.when(before.rlike(r"[\p{L}\p{N}]$") | after.rlike(r"^[\p{L}\p{N}]"), -1).otherwise(1)
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
@@ -143,57 +167,74 @@ def _found(kind: str, base: bool, matches: Column, pieces: Column) -> Column:
             F.lit(base).alias("base"),
             _shape(kind, c["m"]).alias("shape"),
             _vote(c["m"].rlike(yes), c["m"].rlike(no)).alias("gazetteer"),
-            _vote(c["b"].rlike(CUES[kind]), c["b"].rlike(AGAINST)).alias("cue"),
-            F.when(c["b"].rlike(r"[\p{L}\p{N}]$") | c["a"].rlike(r"^[\p{L}\p{N}]"), -1).otherwise(1).alias("border"),
+            _vote(c["b"].rlike(CUES[kind]), c["b"].rlike(AGAINST + AGAINST_KIND.get(kind, ""))).alias("cue"),
+            _border(kind, c["b"], c["a"]).alias("border"),
             F.least(F.floor(F.length(c["m"]) / 8), F.lit(2)).cast("int").alias("length"),
         ),
     )
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with ``base`` and ``loose``: arrays of candidates with votes."""
-    value = F.coalesce(F.col(text), F.lit(""))
+    """The columns of docs as the struct ``doc``, without the text, with ``base`` and ``loose``: arrays of candidates with
+    votes."""
+    rest = kept(docs, text)
+    value = F.coalesce(F.col("text"), F.lit(""))
     hint = {"email": F.instr(value, "@") > 0, "phone": F.instr(value, "+") > 0, "ip": value.rlike("[0-9]\\."), "card": value.rlike("[0-9]")}
-    loose_hint = {"email": (F.instr(value, "at]") > 0) | (F.instr(value, "at)") > 0), "ip": value.rlike("(?::[0-9A-Fa-f]{1,4}){3}"), "card": value.rlike("[0-9][./][0-9]"), "phone": value.rlike("[0-9][ .-][0-9]|[0-9]\\)")}
+    loose_hint = {"email": (F.instr(value, "at]") > 0) | (F.instr(value, "at)") > 0), "ip": value.rlike("(?::[0-9A-Fa-f]{1,4}){3}"), "card": value.rlike("[0-9][./][0-9]"), "phone": value.rlike("[0-9][ .-][0-9]|[0-9]\\)"), "secret": value.rlike("[0-9]")}
     none = F.array().cast("array<string>")
-    patterns = [(k, True, BASE[k], hint[k]) for k in KINDS] + [(k, False, LOOSE[k], loose_hint[k]) for k in KINDS]
-    name = lambda k, b: f"__{'base' if b else 'loose'}_{k}"
-    matched = docs.withColumns({name(k, b): F.when(h, F.regexp_extract_all(value, F.lit(p), F.lit(0))).otherwise(none) for k, b, p, h in patterns})
-    cut = matched.withColumns({f"{name(k, b)}_pieces": F.when(F.size(name(k, b)) > 0, F.split(value, p, -1)).otherwise(none) for k, b, p, _ in patterns}).drop(text)
-    found = {b: F.concat(*[_found(k, b, F.col(name(k, b)), F.col(f"{name(k, b)}_pieces")) for k in KINDS]) for b in (True, False)}
-    kept = cut.withColumns({"base": found[True], "__loose": found[False]})
-    clear = F.filter("__loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return kept.withColumn("loose", clear).select(*[c for c in docs.columns if c != text], "base", "loose")
+    patterns = [(k, True, BASE[k], hint[k]) for k in STRICT] + [(k, False, LOOSE[k], loose_hint[k]) for k in KINDS]
+    name = lambda k, b: f"{'base' if b else 'loose'}_{k}"
+    rows = docs.select(F.struct(*(rest or [F.lit(0).alias("_")])).alias("doc"), F.col(f"`{text}`").alias("text"))
+    matched = rows.withColumns({name(k, b): F.when(h, F.regexp_extract_all(value, F.lit(p), F.lit(0))).otherwise(none) for k, b, p, h in patterns})
+    cut = matched.withColumns({f"{name(k, b)}_pieces": F.when(F.size(name(k, b)) > 0, F.split(value, p, -1)).otherwise(none) for k, b, p, _ in patterns}).drop("text")
+    found = cut.withColumns({f"of_{name(k, b)}": _found(k, b, F.col(name(k, b)), F.col(f"{name(k, b)}_pieces")) for k, b, _, _ in patterns})
+    edges = found.withColumns({f"{edge}_{k}": F.col(f"of_base_{k}.{edge}") for k in STRICT for edge in ("start", "end")})
+
+    def free(c):
+        """Whether no base span of any kind overlaps; those of one kind are in order and apart."""
+        return functools.reduce(Column.__and__, [count_below(F.col(f"start_{k}"), c["end"]) == count_below(F.col(f"end_{k}"), c["start"] + 1) for k in STRICT])
+
+    loose = F.filter(F.concat(*[F.col(f"of_loose_{k}") for k in KINDS]), free)
+    return edges.select("doc", F.concat(*[F.col(f"of_base_{k}") for k in STRICT]).alias("base"), loose.alias("loose"))
 
 
 # Expectation-maximisation and classifier, on counts of vote patterns
 
 
+#: How many candidates of a kind weigh as much as the votes on all kinds.
+SHRINK = 8.0
+
+
 def reliabilities(counts: list[tuple], rounds: int = ROUNDS) -> tuple[dict, dict, list[float]]:
-    """From (kind, base, votes, length, n): the share of true candidates by kind, P(vote | truth) by (labeler, vote,
+    """From (kind, base, votes, length, n): the share of true candidates by kind, P(vote | truth) by (kind, labeler, vote,
     truth), and each row's posterior. Base spans are known to be true."""
     posterior = [1.0 if base else 0.5 + 0.1 * max(-4, min(4, sum(votes))) for _, base, votes, _, _ in counts]
     prior, table = {}, {}
     for _ in range(rounds):
+        weight = {t: [(p if t else 1 - p) * c[4] for c, p in zip(counts, posterior, strict=True)] for t in (0, 1)}
         for k in range(len(KINDS)):
             rows = [(p, n) for (kind, base, _, _, n), p in zip(counts, posterior, strict=True) if kind == k and not base]
             prior[k] = (1 + sum(p * n for p, n in rows)) / (2 + sum(n for _, n in rows))
         for labeler, vote, truth in product(range(len(VOTES)), (-1, 0, 1), (0, 1)):
-            weight = [(p if truth else 1 - p) * c[4] for c, p in zip(counts, posterior, strict=True)]
-            hit = sum(w for c, w in zip(counts, weight, strict=True) if c[2][labeler] == vote)
-            table[labeler, vote, truth] = (hit + (2 if vote == (1 if truth else -1) else 1)) / (sum(weight) + 4)
+            hit = [w if c[2][labeler] == vote else 0.0 for c, w in zip(counts, weight[truth], strict=True)]
+            pooled = (sum(hit) + (2 if vote == (1 if truth else -1) else 1)) / (sum(weight[truth]) + 4)
+            for k in range(len(KINDS)):
+                own = [i for i, c in enumerate(counts) if c[0] == k]
+                table[k, labeler, vote, truth] = (sum(hit[i] for i in own) + SHRINK * pooled) / (sum(weight[truth][i] for i in own) + SHRINK)
         for i, (kind, base, votes, _, _) in enumerate(counts):
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[j, v, 1] / table[j, v, 0]) for j, v in enumerate(votes))
+            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[kind, j, v, 1] / table[kind, j, v, 0]) for j, v in enumerate(votes))
             posterior[i] = 1.0 if base else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prior, table, posterior
 
 
 def _features(kind: int, votes: tuple, length: int) -> list[int]:
-    """Indices of the features that are on."""
-    return [kind] + [len(KINDS) + 3 * j + v + 1 for j, v in enumerate(votes)] + [len(KINDS) + 3 * len(VOTES) + length]
+    """Indices of the features that are on: kind, votes on any kind, length, votes by kind."""
+    plain = 3 * len(VOTES)
+    on = [3 * j + v + 1 for j, v in enumerate(votes)]
+    return [kind, *[len(KINDS) + f for f in on], len(KINDS) + plain + length, *[len(KINDS) + plain + 3 + kind * plain + f for f in on]]
 
 
-N_FEATURES = len(KINDS) + 3 * len(VOTES) + 3
+N_FEATURES = len(KINDS) + 3 * len(VOTES) * (1 + len(KINDS)) + 3
 
 
 def classifier(counts: list[tuple], posterior: list[float], rounds: int = 300, rate: float = 0.5) -> list[float]:
@@ -224,15 +265,16 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = stage(candidates(docs, text), "candidates")
     weights = fit(found) or [-1.0] * N_FEATURES
     weight = F.split(F.lit(",".join(f"{w:.9f}" for w in weights)), ",").cast("array<double>")
-    base = len(KINDS)
+    base, plain = len(KINDS), 3 * len(VOTES)
 
     def accepted(c):
-        on = [c["kind"]] + [base + 3 * j + 1 + c[v] for j, v in enumerate(VOTES)] + [F.lit(base + 3 * len(VOTES)) + c["length"]]
+        votes = [F.lit(3 * j + 1) + c[v] for j, v in enumerate(VOTES)]
+        on = [c["kind"], F.lit(base + plain) + c["length"], *[base + v for v in votes], *[F.lit(base + plain + 3) + c["kind"] * plain + v for v in votes]]
         return sum((F.element_at(weight, i + 1) for i in on), F.lit(0.0)) >= 0
 
     short = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     added = F.concat(F.transform("base", short), F.transform(F.filter("loose", accepted), short))
-    return found.withColumns({"spans": F.array_sort(added), "base": F.array_sort(F.transform("base", short))}).drop("loose")
+    return found.select(*[c for c in kept(docs, text, "base", "spans", name="doc")], F.array_sort(F.transform("base", short)).alias("base"), F.array_sort(added).alias("spans"))
 
 
 def listed(of: Column) -> Column:

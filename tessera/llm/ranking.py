@@ -13,6 +13,12 @@ def lookup(values: list, index: Column, kind: str = "long") -> Column:
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), (index + 1).cast("int"))
 
 
+def count_below(ordered: Column, value: Column, most: int = 1 << 24) -> Column:
+    """How many elements of a sorted array column, of at most so many, are below a value, by binary search."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    return F.when(F.size(ordered) == 0, 0).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, s: F.when(F.get(ordered, n + s - 1) < value, n + s).otherwise(n)))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with a gapless rank from 0. Rows are dealt by ranges of the order; each range is ranked by itself and starts
     after the rows of the ranges before it, of which only the counts go to the driver."""
