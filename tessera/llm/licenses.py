@@ -11,7 +11,8 @@ Before any of that, a text or segment has to hold one of a few words: a segment
 Everything happens within a row: no shuffle, and copies or hot lines cost no more than their own rows.
 
 Nulls and edge cases: a null or empty text has no segment. A segment or template of one word has no bigram and never
-matches. Repeated rows get equal results. An empty table gives an empty result.
+matches. Repeated rows get equal results. An empty table gives an empty result. Other columns travel in one struct, so their
+names cannot clash; a column ``licenses`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import packed, unpacked
+
 THRESHOLD = 0.8
 
 #: Licence notices and texts.
@@ -110,7 +113,7 @@ def _equals(value: str):
     return lambda x: x == value
 
 
-def _dice(bigrams: Column, distinct: Column, template: list[str]) -> Column:
+def _dice(bigrams: Column, distinct: Column, template: list[str], threshold: float) -> Column:
     counts = Counter(template)
     unique = F.split(F.lit("\x1f".join(counts)), "\x1f")
     b, extra = len(template), len(template) - len(counts)
@@ -120,7 +123,7 @@ def _dice(bigrams: Column, distinct: Column, template: list[str]) -> Column:
         if n > 1:
             whole = whole + F.greatest(F.least(F.size(F.filter(bigrams, _equals(t))), F.lit(n)) - 1, F.lit(0))
     bound = 2 * (common + extra) / (F.size(bigrams) + b)
-    return F.when(bound >= THRESHOLD, 2 * whole / (F.size(bigrams) + b)).otherwise(0.0)
+    return F.when(bound >= threshold, 2 * whole / (F.size(bigrams) + b)).otherwise(0.0)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,23 +133,25 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     count = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))  # noqa: E731  bigrams of a segment
     fits = lambda s: F.when(F.length(s) > 0, _any([within(count(s), lo, hi) for _, _, lo, hi in ready])).otherwise(False)
     pattern = _pattern(anchors(ready, threshold))
-    value = F.when(F.lower(F.coalesce(F.col(text), F.lit(""))).rlike(pattern), F.col(text)).otherwise("")
-    kept = docs.withColumn("__text", value).withColumn("__segments", F.filter(segments(F.col("__text")), lambda s: F.when(fits(s), s.rlike(pattern)).otherwise(False)))
+    own = F.col(f"doc.`{text}`")
+    value = F.when(F.lower(F.coalesce(own, F.lit(""))).rlike(pattern), own).otherwise("")
+    rows = packed(docs).withColumn("__text", value)
+    kept = rows.withColumn("__segments", F.filter(segments(F.col("__text")), lambda s: F.when(fits(s), s.rlike(pattern)).otherwise(False)))
     split = lambda s: F.split(s, " ")
     bigrams = F.transform("__segments", lambda s: F.zip_with(F.slice(split(s), F.lit(1), F.size(split(s)) - 1), F.slice(split(s), F.lit(2), F.size(split(s)) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     paired = kept.withColumn("__bigrams", F.transform(bigrams, lambda b: F.struct(b.alias("b"), F.array_distinct(b).alias("d"))))
 
     def score(template: list[str], lo: float, hi: float) -> Column:
-        of = lambda x: F.when(within(F.size(x["b"]), lo, hi), _dice(x["b"], x["d"], template)).otherwise(0.0)
+        of = lambda x: F.when(within(F.size(x["b"]), lo, hi), _dice(x["b"], x["d"], template, threshold)).otherwise(0.0)
         return F.aggregate("__bigrams", F.lit(0.0), lambda acc, x: F.greatest(acc, of(x)))
 
     scores = [score(t, lo, hi) for _, t, lo, hi in ready]
     scored = paired.withColumn("__scores", F.when(F.size("__bigrams") > 0, F.array(*scores)).otherwise(F.array(*[F.lit(0.0)] * len(ready))))
     best = []
     for name in sorted({r[0] for r in ready}):
-        own = [F.element_at("__scores", i + 1) for i, r in enumerate(ready) if r[0] == name]
-        best.append(F.struct(F.lit(name).alias("license"), (F.greatest(*own) if len(own) > 1 else own[0]).alias("dice")))
-    return scored.withColumn("licenses", F.filter(F.array(*best), lambda x: x["dice"] >= threshold)).drop("__text", "__segments", "__bigrams", "__scores")
+        each = [F.element_at("__scores", i + 1) for i, r in enumerate(ready) if r[0] == name]
+        best.append(F.struct(F.lit(name).alias("license"), (F.greatest(*each) if len(each) > 1 else each[0]).alias("dice")))
+    return unpacked(scored, docs, licenses=F.filter(F.array(*best), lambda x: x["dice"] >= threshold))
 
 
 def _any(conditions: list[Column]) -> Column:

@@ -11,7 +11,8 @@ the links is emitted, never all pairs. Anchors with many fingerprints are dealt
 
 Nulls and edge cases: a null or empty text has fingerprint 0 and links like any other. Rows with a null doc_id get
 the smallest doc_id of their component (null if it has none). Repeated rows stay and get equal results. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns travel in one struct, so their names cannot clash; columns ``root`` and
+``component_id`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.columns import packed, unpacked
 from tessera.operators.components import min_labels
 from tessera.plans.staging import stage
 
@@ -49,11 +51,16 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     begin = [0] + [e + 1 for e in stop[: n - 1]]
     stop = stop[len(stop) - n :]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[b:e], SEED) for b, e in zip(begin, stop, strict=True)]), np.uint8).reshape(n, 8)
+    return majority(b"".join([digest(joined[b:e], SEED) for b, e in zip(begin, stop, strict=True)]))
+
+
+def majority(hashes: bytes) -> int:
+    """The bits that more than half of the 8-byte big-endian hashes have."""
+    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    for i in range(0, len(rows), 1 << 16):
+        ones += np.unpackbits(rows[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
 @F.arrow_udf(T.LongType())
@@ -250,4 +257,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "m", F.coalesce("label", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("m").alias("component_id"))
     of_fp = joined.join(least, "root").select("fp", "root", "component_id")
-    return docs.join(of_fp, "fp")
+    found = packed(docs).withColumn("fp", F.col("doc.fp")).join(of_fp, "fp")
+    return unpacked(found, docs, root=F.col("root"), component_id=F.col("component_id"))
