@@ -8,14 +8,16 @@ source and hash bucket: only the bucket in which the budget ends is refined, by
 hash value is left. Nothing is sorted, and no more than a row per source and bucket is ever brought together.
 
 Nulls and edge cases: a null text has size 0; null is a source of its own. The hash is of doc_id and text, so reruns
-agree and repeated rows share their fate. A source of size 0 has target 0. An empty table gives an empty result.
+agree and repeated rows share their fate. A source of size 0 has target 0. An empty table gives an empty result. Other
+columns travel in one struct, so their names cannot clash; a column ``copies`` is replaced, where the result has one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import kept, packed, unpacked
 from tessera.llm.ranking import lookup, ranked
 from tessera.plans.staging import stage
 
@@ -51,9 +53,9 @@ def targets(totals: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, max_repe
     return weighted.select("key", "source_size", F.least(F.lit(level) * F.col("w"), cap).alias("target"))
 
 
-def mix(docs: DataFrame, size: str = "size", weights=WEIGHTS, epochs: float = EPOCHS, max_repeats: float = MAX_REPEATS, levels=LEVELS) -> DataFrame:
-    """docs (with key, source, size and hash ``h`` below 2**32) with source_size, target and copies."""
-    totals = docs.groupBy("key").agg(F.first("source").alias("source"), F.sum(size).alias("source_size"))
+def thresholds(sizes: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, max_repeats: float = MAX_REPEATS, levels=LEVELS) -> DataFrame:
+    """(key, source_size, target, threshold) of each source; sizes has key, source, size and the hash ``h`` below 2**32."""
+    totals = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = stage(targets(totals, weights, epochs, max_repeats), "targets")
     state = goal.filter("source_size > 0").select(
         "key", (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")
@@ -63,18 +65,44 @@ def mix(docs: DataFrame, size: str = "size", weights=WEIGHTS, epochs: float = EP
         inside = F.shiftright("h", left) == F.col("prefix")
         left -= bits
         bucket = F.shiftright("h", left)
-        sums = docs.join(state, "key").filter(inside).groupBy("key", bucket.alias("bucket")).agg(F.sum(size).alias("words"))
+        sums = sizes.select("key", "size", "h").join(state, "key").filter(inside).groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         ends = sums.join(state, "key").withColumn("upto", F.col("below") + upto).filter("upto > budget")
         state = stage(ends.groupBy("key").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("below"), "upto", "budget")).alias("s")).select("key", F.col("s.budget").alias("budget"), F.col("s.bucket").alias("prefix"), F.col("s.below").alias("below"), F.col("s.upto").alias("upto")), "thresholds")
     nearer = (F.col("upto") - F.col("budget")) <= (F.col("budget") - F.col("below"))
     threshold = state.select("key", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
-    known = goal.join(threshold, "key", "left")
+    return stage(goal.join(threshold, "key", "left"), "mix")
+
+
+def decided(rows: DataFrame, known: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    """rows, which have key and h, with source_size, target and copies. Each row is decided where it is: sources are few, so
+    that Spark broadcasts what is known of them, unless they are too many for that."""
     base = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     copies = F.floor(base) + F.coalesce((F.col("h") < F.col("threshold")).cast("long"), F.lit(0))
-    return docs.join(known, "key").withColumn("copies", F.least(copies, F.lit(int(max_repeats)))).drop("threshold")
+    return rows.join(known, "key").withColumn("copies", F.least(copies, F.lit(int(max_repeats)))).drop("threshold")
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def _hash(doc_id: Column, text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 32)
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    """What mixing needs of documents: key, source, size, and the hash of doc_id and text."""
-    return docs.withColumns({"key": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "size": sized(docs), "h": F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 32)})
+    """What mixing needs of documents: doc_id, key, source, size, and the hash of doc_id and text."""
+    return docs.select("doc_id", _key(F.col("source")).alias("key"), "source", sized(docs).alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("h"))
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, epochs: float = EPOCHS, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    """docs with ``copies``: how often the mix takes each."""
+    known = thresholds(stage(narrow(docs), "sizes"), weights, epochs, max_repeats)
+    rows = packed(docs).withColumns({"key": _key(F.col("doc.source")), "h": _hash(F.col("doc.doc_id"), F.col("doc.text"))})
+    return unpacked(decided(rows, known, max_repeats), docs, copies=F.col("copies"))
+
+
+def take(docs: DataFrame, **settings) -> DataFrame:
+    """docs, each as often as the mix takes it."""
+    rows = mixed(docs, **settings).filter("copies > 0")
+    return packed(rows).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("doc.copies").cast("int")))).select(*kept(docs, name="doc"))

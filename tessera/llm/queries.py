@@ -29,7 +29,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    base = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *[count(k) for k in pii.STRICT], base, pii.listed(F.col("spans")).alias("spans"), added)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.narrow(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    mixed = mixing.mix(stage(docs, "sizes"))
+    sizes = stage(mixing.narrow(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "sizes")
+    mixed = mixing.decided(sizes, mixing.thresholds(sizes))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -66,13 +68,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     docs = _table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = sharding.shard(docs.withColumn("key", F.col("doc_id")), 8)
+    placed = sharding.shard(docs, 8, F.col("size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.digest(substring_dedup.with_spans(docs)).select("doc_id", "d.n_words", "d.n_removed", "d.kept_sha256")
+    return substring_dedup.digest(substring_dedup.with_spans(docs))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
