@@ -11,10 +11,13 @@ whatever the corpus. Scoring reads every text whole.
 
 Nulls and edge cases: a null or empty text has no terms and scores sigmoid(w0). Labels that are null are ignored; of
 repeated labels the largest counts. Without labels of both kinds every score is the share of ones (0.5 without any).
+An empty table gives an empty result. Only doc_id and text are looked at; of other columns only one with the name of the
+score is replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,20 +145,35 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _packed(model: Model) -> pa.RecordBatch:
+    parts = [model.ids.astype(np.int32), model.linear.astype(np.float64), model.factors.astype(np.float64)]
+    return pa.RecordBatch.from_arrays([pa.array([model.bias]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["bias", "ids", "linear", "factors"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (toxic, terms), as one row."""
+    held = list(batches)
+    y = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held]) if held else np.empty(0)
+    lists = [b.column(1) for b in held]
+    lengths = np.concatenate([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in lists]) if held else np.empty(0, np.int64)
+    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]) if held else np.empty(0, np.int32)
+    del held, lists
+    yield _packed(fit(flat, lengths, y.astype(float)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of ``labels`` (doc_id, toxic) from the texts of docs, by a bounded sample."""
+    """A model of ``labels`` (doc_id, toxic) from the texts of docs, by a bounded sample. One task of an executor fits it, so
+    that only the model comes to the driver."""
     pick = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(*pick).limit(sample)  # at most `sample` pairs of numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", _terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    got = rows.orderBy(*pick, F.xxhash64("terms")).limit(sample).toArrow()
-    y = got["toxic"].to_numpy().astype(float)
-    lists = got["terms"].combine_chunks()
-    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    model = fit(lists.flatten().to_numpy(zero_copy_only=False), lengths, y)
-    del got, lists
-    pa.default_memory_pool().release_unused()
-    return model
+    best = rows.orderBy(*pick, F.xxhash64("terms")).limit(sample).select(F.col("toxic").cast("double"), "terms")
+    made = best.coalesce(1).mapInArrow(_fitted, "bias double, ids binary, linear binary, factors binary").collect()
+    if not made:
+        return fit(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0))
+    ids, linear, factors = (np.frombuffer(made[0][i + 1], kind) for i, kind in enumerate((np.int32, np.float64, np.float64)))
+    return Model(made[0]["bias"], ids, linear, factors.reshape(-1, RANK))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
