@@ -2,7 +2,9 @@
 
 Each stage gets what its predecessor kept. All but the last return the columns of their input; the last adds shard and
 slot. A stage that looks at rows twice tells them by their place in the table, so its input has to be a written table,
-as between the stages. The toxicity model has no SQL form, so there is no SQL for the whole; tests hold each stage against slow versions.
+as between the stages. Other columns may have any names: they travel in one struct where a stage has columns of its own;
+only the last stage replaces columns named shard and slot. The toxicity model has no SQL form, so there is no SQL for the
+whole; tests hold each stage against slow versions.
 """
 
 from __future__ import annotations
@@ -11,45 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_copies, sharding, toxicity
+from tessera.llm.columns import kept, packed
 from tessera.plans.staging import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.train(docs, labels), name="__score")
-    return scored.filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    model = toxicity.train(docs, labels)
+    rows = packed(docs).withColumn("text", F.col("doc.text"))
+    return toxicity.score(rows, model).filter(F.col("score") < toxicity.THRESHOLD).select(*kept(docs, name="doc"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard similarity of five-word shingles of 0.8 or more) stays: that
     with the smallest doc_id, and the first of its rows."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = stage(near_copies.near_copies(rows.select(F.col("__row").alias("row"), "doc_id", "text")).withColumnRenamed("row", "__row"), "groups")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
-    gone = found.select("__row").join(first, "__row", "left_anti")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    row = F.monotonically_increasing_id().alias("row")
+    found = stage(near_copies.near_copies(docs.select(row, "doc_id", "text")), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    gone = found.select("row").join(first, "row", "left_anti")
+    return packed(docs).withColumn("row", row).join(gone, "row", "left_anti").select(*kept(docs, name="doc"))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    kept = decontaminate.remove_documents(decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits="__hits"), "__hits")
-    return kept.select(docs.columns)
+    rows = packed(docs).withColumn("text", F.col("doc.text"))
+    scanned = decontaminate.scan(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return decontaminate.remove_documents(scanned).select(*kept(docs, name="doc"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    sizes = stage(mixing.narrow(rows.select("__row", "doc_id", "source", "text")).drop("text"), "sizes")
-    taken = mixing.mix(sizes).filter("copies > 0").select("__row", "copies")
-    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return mixing.take(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in shards of nearly equal bytes, in order of doc_id."""
-    size = F.length(F.coalesce("text", F.lit("")).cast("binary")) + 1
-    rows = docs.select(F.struct("*").alias("doc"), size.cast("long").alias("size"), F.col("doc_id").cast("long").alias("key"))
-    return sharding.shard(rows, 8).select("doc.*", "shard", "slot")
+    return sharding.shard(docs, 8, F.length(F.coalesce("text", F.lit("")).cast("binary")) + 1)
 
 
 STAGES = [
