@@ -7,8 +7,8 @@ every candidate, base or not: its shape, a gazetteer (country codes, card issuer
 networks, prefixes of keys), cue words before it, and what touches it. Each vote is -1, 0 (none) or 1.
 
 The votes are counted by pattern, a table of at most 5 * 3**4 * 2 * 3 rows. From the counts, expectation-maximisation
-estimates how each labeler votes on true and on false candidates of each kind, drawn towards its votes on all kinds. Its
-posteriors are the soft labels of a logistic span classifier over votes by kind and length, fitted to the same counts. That
+estimates how often each labeler is right on true and on false candidates of each kind, starting from what is believed of
+it. Its posteriors are the soft labels of a logistic span classifier over votes by kind and length, fitted to the same counts. That
 classifier decides on the loose candidates; base spans stay as they are. Its weights enter the plan as literals, so a text
 is judged where its candidates are.
 
@@ -60,7 +60,7 @@ GAZETTEER = {
     "email": (r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|ca|au|ch|at|nl|be)$", r"(?i)\.(?:invalid|test|localhost|local)$"),
     "ip": (r"^(?!0\.|127\.|22[4-9]\.|2[34][0-9]\.|25[0-5]\.)", r"^(?:0\.|127\.|22[4-9]\.|2[34][0-9]\.|25[0-5]\.)"),
     "card": (r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)", r"^[01789]"),
-    "secret": (r"^(?:gh[oprsu]_|github_pat_|A[KS]IA|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-)|^(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})$", r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[A-Za-z]+[-_][0-9]+$|^[A-Za-z_-]{12,}[0-9]{1,4}$"),
+    "secret": (r"^(?:gh[oprsu]_|github_pat_|A[KS]IA|sk[-_]|xox[abprs]-|AIza|eyJ|glpat-)", r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[A-Za-z]+[-_][0-9]+$|^[A-Za-z_-]{12,}[0-9]{1,4}$"),
     "phone": (r"^\+?(?:1|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])\b|^\([2-9]|^[2-9]", r"^\+?0|^\(?[01]"),
 }
 CUES = {
@@ -188,43 +188,47 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     matched = rows.withColumns({name(k, b): F.when(h, F.regexp_extract_all(value, F.lit(p), F.lit(0))).otherwise(none) for k, b, p, h in patterns})
     cut = matched.withColumns({f"{name(k, b)}_pieces": F.when(F.size(name(k, b)) > 0, F.split(value, p, -1)).otherwise(none) for k, b, p, _ in patterns}).drop("text")
     found = cut.withColumns({f"of_{name(k, b)}": _found(k, b, F.col(name(k, b)), F.col(f"{name(k, b)}_pieces")) for k, b, _, _ in patterns})
-    edges = found.withColumns({f"{edge}_{k}": F.col(f"of_base_{k}.{edge}") for k in STRICT for edge in ("start", "end")})
+    own = F.struct(*[F.col(f"of_base_{k}.{edge}").alias(f"{edge}_{k}") for k in STRICT for edge in ("start", "end")])
 
-    def free(c):
+    def free(c, spans):
         """Whether no base span of any kind overlaps; those of one kind are in order and apart."""
-        return functools.reduce(Column.__and__, [count_below(F.col(f"start_{k}"), c["end"]) == count_below(F.col(f"end_{k}"), c["start"] + 1) for k in STRICT])
+        return functools.reduce(Column.__and__, [count_below(spans[f"start_{k}"], c["end"]) == count_below(spans[f"end_{k}"], c["start"] + 1) for k in STRICT])
 
-    loose = F.filter(F.concat(*[F.col(f"of_loose_{k}") for k in KINDS]), free)
-    return edges.select("doc", F.concat(*[F.col(f"of_base_{k}") for k in STRICT]).alias("base"), loose.alias("loose"))
+    every = F.concat(*[F.col(f"of_loose_{k}") for k in KINDS])
+    loose = F.when(F.size(every) == 0, every).otherwise(_let(own, lambda spans: F.filter(every, lambda c: free(c, spans))))
+    return found.select("doc", F.concat(*[F.col(f"of_base_{k}") for k in STRICT]).alias("base"), loose.alias("loose"))
 
 
 # Expectation-maximisation and classifier, on counts of vote patterns
 
 
-#: How many candidates of a kind weigh as much as the votes on all kinds.
-SHRINK = 8.0
+#: What is believed of each labeler beforehand, as the share of its votes that are right, and how many votes that is worth.
+BELIEVED = {"shape": 0.6, "gazetteer": 0.8, "cue": 0.9, "border": 0.75}
+BELIEF = 10.0
 
 
 def reliabilities(counts: list[tuple], rounds: int = ROUNDS) -> tuple[dict, dict, list[float]]:
-    """From (kind, base, votes, length, n): the share of true candidates by kind, P(vote | truth) by (kind, labeler, vote,
-    truth), and each row's posterior. Base spans are known to be true."""
-    posterior = [1.0 if base else 0.5 + 0.1 * max(-4, min(4, sum(votes))) for _, base, votes, _, _ in counts]
-    prior, table = {}, {}
+    """From (kind, base, votes, length, n): the share of true candidates by kind; by (kind, labeler, truth) how often the
+    labeler's vote on such candidates is right, where it votes; and each row's posterior. A labeler that does not vote says
+    nothing. Base spans are known to be true."""
+    prior = dict.fromkeys(range(len(KINDS)), 0.5)
+    right = {(k, j, t): BELIEVED[name] for k in prior for j, name in enumerate(VOTES) for t in (0, 1)}
+    posterior: list[float] = []
     for _ in range(rounds):
-        weight = {t: [(p if t else 1 - p) * c[4] for c, p in zip(counts, posterior, strict=True)] for t in (0, 1)}
-        for k in range(len(KINDS)):
-            rows = [(p, n) for (kind, base, _, _, n), p in zip(counts, posterior, strict=True) if kind == k and not base]
-            prior[k] = (1 + sum(p * n for p, n in rows)) / (2 + sum(n for _, n in rows))
-        for labeler, vote, truth in product(range(len(VOTES)), (-1, 0, 1), (0, 1)):
-            hit = [w if c[2][labeler] == vote else 0.0 for c, w in zip(counts, weight[truth], strict=True)]
-            pooled = (sum(hit) + (2 if vote == (1 if truth else -1) else 1)) / (sum(weight[truth]) + 4)
-            for k in range(len(KINDS)):
-                own = [i for i, c in enumerate(counts) if c[0] == k]
-                table[k, labeler, vote, truth] = (sum(hit[i] for i in own) + SHRINK * pooled) / (sum(weight[truth][i] for i in own) + SHRINK)
-        for i, (kind, base, votes, _, _) in enumerate(counts):
-            odds = math.log(prior[kind] / (1 - prior[kind])) + sum(math.log(table[kind, j, v, 1] / table[kind, j, v, 0]) for j, v in enumerate(votes))
-            posterior[i] = 1.0 if base else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return prior, table, posterior
+        posterior = []
+        for kind, base, votes, _, _ in counts:
+            odds = math.log(prior[kind] / (1 - prior[kind]))
+            for j, v in enumerate(votes):
+                yes, no = right[kind, j, 1], right[kind, j, 0]
+                odds += {1: math.log(yes / (1 - no)), -1: math.log((1 - yes) / no), 0: 0.0}[v]
+            posterior.append(1.0 if base else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+        for k in prior:
+            rows = [(c, p) for c, p in zip(counts, posterior, strict=True) if c[0] == k]
+            prior[k] = (1 + sum(p * c[4] for c, p in rows if not c[1])) / (2 + sum(c[4] for c, _ in rows if not c[1]))
+            for (j, name), t in product(enumerate(VOTES), (0, 1)):
+                voted = [(c[4] * (p if t else 1 - p), c[2][j] == (1 if t else -1)) for c, p in rows if c[2][j]]
+                right[k, j, t] = (BELIEF * BELIEVED[name] + sum(w for w, ok in voted if ok)) / (BELIEF + sum(w for w, _ in voted))
+    return prior, right, posterior
 
 
 def _features(kind: int, votes: tuple, length: int) -> list[int]:
