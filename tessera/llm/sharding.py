@@ -5,10 +5,10 @@ histogram gives the exact bytes below the edges of equal steps; the step in whic
 steps, until the bytes below the cut are within tolerance. A row's position is a list of four digits, the halves of its
 key and of its row id, so that neither the width of 64-bit keys nor rows of one key stand in the way: where a step is
 one digit wide, the next digit is probed. The same rounds, counting rows instead of bytes, cut the order into ranges of
-at most about ``rows_per_range`` rows, wherever keys crowd. Then the rows are exchanged once, by range; a row's slot is
+at most about ``rows_per_range`` rows, and of about ``BYTES_PER_RANGE`` on average, wherever keys crowd. Then the rows are exchanged once, by range; a row's slot is
 its place in its range plus the rows of the ranges of its shard before it.
 
-Nulls and edge cases: a null text has no bytes; null keys come last. Any 64-bit key is allowed. Repeated rows stay; equal
+Nulls and edge cases: a null size is 0; null keys come last. Any 64-bit key is allowed. Repeated rows stay; equal
 keys are told apart by the row id alone, so any of them may stand on either side of a cut. Fewer rows than shards leave
 shards empty. An empty table gives an empty result. Other columns travel in one struct, so their names cannot clash;
 columns ``shard`` and ``slot`` are replaced. Row ids are places in the table, so the input has to be a written table.
@@ -34,6 +34,7 @@ TOLERANCE = 1e-4
 #: Of a range's rows.
 RANGE_TOLERANCE = 0.25
 ROWS_PER_RANGE = 250_000
+BYTES_PER_RANGE = 32 << 20
 #: More ranges than this would make the search of a row's range slow; beyond it ranges grow.
 MAX_RANGES = 4096
 HALF = 1 << 32
@@ -140,10 +141,11 @@ def cuts(rows: DataFrame, goals: list[tuple[str, int]], tolerance: float = TOLER
 def shard(docs: DataFrame, shards: int, size: Column, key: str = "doc_id", rows_per_range: int = ROWS_PER_RANGE, tolerance: float = TOLERANCE) -> DataFrame:
     """docs, a written table, with shard and slot. key is a column of whole numbers, size the bytes of a row."""
     row = F.monotonically_increasing_id()
-    named = docs.select(row.alias("row"), F.col(f"`{key}`").cast("long").alias("key"), size.cast("long").alias("size"))
+    named = docs.select(row.alias("row"), F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     rows = stage(named.select(digits(F.col("key"), F.col("row")).alias("at"), "size"), "positions")
-    n = rows.count()
-    found = cuts(rows, [("bytes", shards), ("rows", max(1, min(MAX_RANGES, -(-n // rows_per_range))))], tolerance)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(1, min(MAX_RANGES, max(-(-n // rows_per_range), total // BYTES_PER_RANGE)))
+    found = cuts(rows, [("bytes", shards), ("rows", ranges)], tolerance)
     bounds = sorted({*found["bytes"], *found["rows"]})
     shard_of = [0] + [sum(c <= b for c in found["bytes"]) for b in bounds]
     counts = {r["range"]: r["count"] for r in rows.select(count_upto(bounds, F.col("at")).alias("range")).groupBy("range").count().collect()}
