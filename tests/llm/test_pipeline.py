@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 from tests.llm import brute
+from tests.llm.test_near_copies import groups as all_pairs
 
 
 def rows(df):
@@ -23,14 +24,11 @@ def test_stages(spark, hard, hard_dir):
     assert kept.columns == hard.columns and not Counter(map(key, rows(kept))) - Counter(map(key, docs))
 
     one = rows(stages["near-duplicates"](spark, hard, hard_dir))
-    root = brute.components([brute.fingerprint(r["text"]) for r in docs])
     groups = defaultdict(list)
-    for r in docs:
-        groups[root[brute.fingerprint(r["text"])]].append(r)
-    assert len(one) == len(groups) and not Counter(map(key, one)) - Counter(map(key, docs))
-    for r in one:
-        ids = [x["doc_id"] for x in groups[root[brute.fingerprint(r["text"])]] if x["doc_id"] is not None]
-        assert r["doc_id"] == min(ids, default=None)
+    for r, g in zip(docs, all_pairs([r["text"] for r in docs]), strict=True):
+        groups[g].append(r["doc_id"])
+    assert not Counter(map(key, one)) - Counter(map(key, docs))
+    assert Counter(r["doc_id"] for r in one) == Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
 
     items = [tuple(r) for r in spark.read.parquet(f"{hard_dir}/benchmark.parquet").select("item_id", "text").collect()]
     clean = rows(stages["decontamination"](spark, hard, hard_dir))
