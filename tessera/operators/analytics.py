@@ -130,12 +130,13 @@ def _quota(t: Tables) -> DataFrame:
 
 
 def _postings(t: Tables) -> DataFrame:
-    """Cumulative postings of tokens from the rarest on, as far as 3,000, for one text."""
+    """For each query: cumulative postings of its tokens from the rarest on, as far as 3,000, but three tokens at least."""
+    wanted = t.table("benchmark").select("item_id", F.explode(F.array_distinct(tokens(col("text")))).alias("token"))
     each = t.texts.select("id", F.explode(F.array_distinct(tokens(col("text")))).alias("token"))
-    mine = each.filter("id = 1").select("token")
-    df = each.join(F.broadcast(mine), "token").groupBy("token").agg(F.count("*").alias("df"))  # at most the words of a text
-    upto = F.sum("df").over(Window.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("upto", upto).withColumn("r", F.row_number().over(Window.orderBy("df", "token"))).filter("r <= 3 OR (r <= 16 AND upto <= 3000)")
+    df = wanted.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
+    along = Window.partitionBy("item_id").orderBy("df", "token")
+    upto = F.sum("df").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("upto", upto).withColumn("r", F.row_number().over(along)).filter("r <= 3 OR (r <= 16 AND upto <= 3000)")
 
 
 QUERIES = {
@@ -171,7 +172,11 @@ QUERIES = {
     "treemap_topk": Query("segment:s venue:s papers:l", _treemap, "SELECT segment, CASE WHEN r <= 3 THEN venue ELSE 'other venues' END AS venue, sum(papers) AS papers FROM (SELECT segment, venue, count(*) AS papers, row_number() OVER (PARTITION BY segment ORDER BY count(*) DESC, venue) AS r FROM pubs GROUP BY 1, 2) GROUP BY 1, 2"),
     "share_of_total": Query("venue:s papers:l share:d", lambda t: t.pubs.groupBy("venue").agg(F.count("*").alias("papers")).withColumn("share", col("papers") / F.sum("papers").over(Window.partitionBy())), "SELECT venue, count(*) AS papers, count(*) / sum(count(*)) OVER () AS share FROM pubs GROUP BY 1"),
     "quota_sample": Query("venue:s has_oa:b pid:l", _quota, "SELECT venue, has_oa, pid FROM pubs QUALIFY row_number() OVER (PARTITION BY venue, has_oa ORDER BY md5(pid::VARCHAR || '-7'), pid) <= CASE WHEN has_oa THEN 5 ELSE 10 END"),
-    "running_postings": Query("token:s df:l upto:l", _postings, "SELECT token, df, upto FROM (SELECT token, df, sum(df) OVER (ORDER BY df, token ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY df, token) AS r FROM (SELECT token, count(*) AS df FROM e WHERE token IN (SELECT token FROM e WHERE id = 1) GROUP BY 1)) WHERE r <= 3 OR (r <= 16 AND upto <= 3000)", "e AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM texts)"),
+    "running_postings": Query(
+        "item_id:l token:s df:l upto:l", _postings,
+        "SELECT item_id, token, df, upto FROM (SELECT *, sum(df) OVER (PARTITION BY item_id ORDER BY df, token ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (PARTITION BY item_id ORDER BY df, token) AS r FROM q JOIN d USING (token)) WHERE r <= 3 OR (r <= 16 AND upto <= 3000)",
+        "d AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM texts) GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark)",
+    ),
     "rising_words": Query("word:s old:l new:l ratio:d", _rising, "SELECT word, old, new, ((new + 5) / (n_new + 5)) / ((old + 5) / (n_old + 5)) AS ratio FROM (SELECT word, count(*) FILTER (year < 2005) AS old, count(*) FILTER (year >= 2005) AS new FROM e GROUP BY 1 HAVING count(*) >= 30), (SELECT count(*) FILTER (year < 2005) AS n_old, count(*) FILTER (year >= 2005) AS n_new FROM texts) ORDER BY ratio DESC, word LIMIT 40", "e AS (SELECT DISTINCT id, year, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM texts)"),
     "lifespans": Query("segment:s first:l series:l alive:d active:d", _lifespans, "SELECT segment, first, count(*) AS series, avg((last >= 2000)::INT) AS alive, median(active) AS active FROM (SELECT venue, segment, min(year) AS first, max(year) AS last, count(DISTINCT year) AS active FROM pubs GROUP BY 1, 2) GROUP BY 1, 2"),
     "overview": Query("papers:l people:l bins:l slots:l venues:l open:d mean_team:d", lambda t: t.pubs.agg(F.count("*").alias("papers"), F.countDistinct("venue").alias("venues"), share(col("has_oa")).alias("open")).crossJoin(t.persons.agg(count_if(col("page_kind") == "numbered").alias("people"), count_if(col("page_kind") == "disambiguation").alias("bins"))).crossJoin(t.slots.agg(F.count("*").alias("slots"), F.avg(F.when(col("position") == 1, col("n_authors"))).alias("mean_team"))), "SELECT * FROM (SELECT count(*) AS papers, count(DISTINCT venue) AS venues, avg(has_oa::INT) AS open FROM pubs), (SELECT count(*) FILTER (page_kind = 'numbered') AS people, count(*) FILTER (page_kind = 'disambiguation') AS bins FROM persons), (SELECT count(*) AS slots, avg(n_authors) FILTER (position = 1) AS mean_team FROM slots)"),

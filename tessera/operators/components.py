@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.staging import stage
+from tessera.plans.staging import drop, stage
 
 
 def min_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -23,7 +23,8 @@ def min_labels(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        old, now = now, stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

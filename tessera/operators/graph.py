@@ -6,6 +6,8 @@ divide the sources among tasks."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.portable import bucket, count_if
 from tessera.operators.components import min_labels
 from tessera.operators.joins import ADJ, adjacency
-from tessera.plans.staging import stage
+from tessera.plans.staging import drop, stage
 from tessera.plans.tables import Query, Tables
 
 col = F.col
@@ -27,7 +29,7 @@ def edges(t: Tables) -> DataFrame:
     return adjacency(t).filter("a < b").groupBy(col("a").alias("u"), col("b").alias("v")).agg(F.sum("papers").alias("papers"))
 
 
-EDGES = f"{ADJ}, edges AS (SELECT a AS u, b AS v, sum(papers) AS papers FROM adj WHERE a < b GROUP BY 1, 2)"
+EDGES = f"{ADJ}, edges AS MATERIALIZED (SELECT a AS u, b AS v, sum(papers) AS papers FROM adj WHERE a < b GROUP BY 1, 2)"
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def degrees(e: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array("u", "v")).alias("node"), *[c for c in e.columns if c == "papers"]).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def pagerank(e: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 60) -> DataFrame:
+def pagerank(e: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 200) -> DataFrame:
     """(node, rank); ranks sum to one. Stops when the sum of changes is within tolerance."""
     arcs = stage(both_ways(e), "arcs")
     out = stage(arcs.groupBy("u").agg(F.count("*").alias("out")), "out")
@@ -48,42 +50,61 @@ def pagerank(e: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, max_r
         sent = rank.join(out, rank.node == out.u).select("u", (col("rank") / col("out")).alias("x")).join(arcs, "u").groupBy(col("v").alias("node")).agg(F.sum("x").alias("x"))
         nxt = stage(sent.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * col("x")).alias("rank")), "rank")
         change = nxt.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(col("rank") - col("old")))).first()[0] or 0.0
+        drop(rank)
         rank = nxt
         if change <= tolerance:
-            break
-    return rank
+            return rank
+    raise RuntimeError(f"ranks did not settle in {max_rounds} rounds")
 
 
-def eigenvector(e: DataFrame, tolerance: float = 1e-9, max_rounds: int = 100) -> DataFrame:
-    """(node, score) by power iteration on A + I, scaled to unit length."""
-    arcs = stage(both_ways(e), "arcs")
+def largest_component(e: DataFrame) -> DataFrame:
+    """The edges of the component with most nodes; of several, that with the smallest node."""
+    labels = stage(min_labels(e.select(col("u").alias("a"), col("v").alias("b"))), "labels")
+    top = labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(col("n").desc(), "label").limit(1).select("label")
+    inside = labels.join(F.broadcast(top), "label").select(col("node").alias("u"))
+    return e.join(inside, "u", "left_semi")
+
+
+def with_all_nodes(e: DataFrame, measured: DataFrame, value: str) -> DataFrame:
+    """A row for every node of e; null where a measure of the largest component says nothing."""
+    return degrees(e).select("node").join(measured.select("node", value), "node", "left")
+
+
+def eigenvector(e: DataFrame, tolerance: float = 1e-9, max_rounds: int = 1000) -> DataFrame:
+    """(node, score) by power iteration on A + I over the largest component, scaled to unit length."""
+    arcs = stage(both_ways(largest_component(e)), "arcs")
     x = stage(arcs.select(col("u").alias("node")).distinct().withColumn("score", F.lit(1.0)), "vector")
+    if x.isEmpty():
+        return x
+    written, scale = x, 1.0
     for _ in range(max_rounds):
         pulled = x.join(arcs, x.node == arcs.u).groupBy(col("v").alias("node")).agg(F.sum("score").alias("s"))
         raw = stage(pulled.join(x, "node").select("node", (col("s") + col("score")).alias("score"), col("score").alias("old")), "vector")
-        norm = raw.agg(F.sqrt(F.sum(col("score") ** 2))).first()[0] or 1.0
-        change = raw.agg(F.sum(F.abs(col("score") / norm - col("old")))).first()[0] or 0.0
-        x = raw.select("node", (col("score") / norm).alias("score"))
+        norm = raw.agg(F.sqrt(F.sum(col("score") ** 2))).first()[0]
+        change = raw.agg(F.sum(F.abs(col("score") / norm - col("old")))).first()[0]
+        drop(written)
+        x, written = raw.select("node", (col("score") / norm).alias("score")), raw
         if change <= tolerance:
-            break
-    return x
+            return x
+    raise RuntimeError(f"the vector did not settle in {max_rounds} rounds")
 
 
 def kcore(e: DataFrame, max_rounds: int = 500) -> DataFrame:
     """(node, core): each round sets a node's bound to the largest h such that h neighbours have bounds of h or more;
     from degrees downwards this settles at the core numbers."""
     arcs = stage(both_ways(e), "arcs")
-    bound = stage(degrees(e).select("node", col("degree").alias("core")), "core")
+    bound = written = stage(degrees(e).select("node", col("degree").alias("core")), "core")
     for _ in range(max_rounds):
         seen = arcs.join(bound, arcs.v == bound.node).groupBy("u", "core").agg(F.count("*").alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("u").orderBy(col("core").desc()).rangeBetween(Window.unboundedPreceding, 0))
         h = seen.withColumn("k", F.least("core", at_least)).groupBy(col("u").alias("node")).agg(F.max("k").alias("h"))
         nxt = stage(h.join(bound, "node").select("node", F.least("h", "core").alias("core"), (col("h") < col("core")).alias("moved")), "core")
-        moved = nxt.filter("moved").limit(1).count()
-        bound = nxt.select("node", "core")
+        moved = not nxt.filter("moved").isEmpty()
+        drop(written)
+        bound, written = nxt.select("node", "core"), nxt
         if not moved:
-            break
-    return bound
+            return bound
+    raise RuntimeError(f"cores did not settle in {max_rounds} rounds")
 
 
 class _Paths:
@@ -134,45 +155,54 @@ def _compressed(e: DataFrame):
     return e.sparkSession.sparkContext.broadcast(_Paths(rows["u"].to_numpy(), rows["v"].to_numpy()))
 
 
-def betweenness(e: DataFrame, sources: int | None = None) -> DataFrame:
-    """(node, betweenness), normalised; from all sources or a hash sample of so many, scaled to all."""
-    graph = _compressed(e)
-    nodes = degrees(e).select("node")
-    n = len(graph.value.ids)
-    picked = nodes if sources is None else nodes.orderBy(F.md5(col("node").cast("string")), "node").limit(sources)
-    k = n if sources is None else min(sources, n)
+def _picked(nodes: np.ndarray, most: int | None) -> np.ndarray:
+    """All nodes, or so many by the order of their md5."""
+    if most is None or most >= len(nodes):
+        return nodes
+    return np.array(sorted(nodes.tolist(), key=lambda n: hashlib.md5(str(n).encode()).hexdigest())[:most])
+
+
+def _summed(e: DataFrame, graph, sources: np.ndarray, of, name: str) -> DataFrame:
+    """(node, name): what ``of(paths, source)`` gives each node, added over the sources, which are divided among tasks."""
 
     def run(batches):
         g, total = graph.value, None
         for batch in batches:
-            for s in batch["node"]:
-                d = g.dependencies(int(np.searchsorted(g.ids, s)))
+            for s in batch["source"]:
+                d = of(g, int(np.searchsorted(g.ids, s)))
                 total = d if total is None else total + d
         if total is not None:
             yield pd.DataFrame({"node": g.ids, "x": total})
 
-    parts = picked.repartition(max(1, min(64, k // 8))).mapInPandas(run, "node long, x double")
-    scale = n / max(k, 1) / max((n - 1) * (n - 2), 1)
-    return parts.groupBy("node").agg((F.sum("x") * scale).alias("betweenness"))
+    spark = e.sparkSession
+    rows = spark.createDataFrame(pd.DataFrame({"source": sources}), "source long").repartition(max(1, min(256, len(sources) // 8)))
+    return rows.mapInPandas(run, "node long, x double").groupBy("node").agg(F.sum("x").alias(name))
+
 
+def betweenness(e: DataFrame, sources: int | None = 32_768) -> DataFrame:
+    """(node, betweenness) on the largest component, normalised; from all sources or a hash sample of so many, scaled to
+    all. Nodes elsewhere get null."""
+    graph = _compressed(largest_component(e))
+    n = len(graph.value.ids)
+    picked = _picked(graph.value.ids, sources)
+    found = _summed(e, graph, picked, lambda g, s: g.dependencies(s), "x")
+    scale = n / max(len(picked), 1) / max((n - 1) * (n - 2), 1)
+    return with_all_nodes(e, found.select("node", (col("x") * scale).alias("betweenness")), "betweenness")
 
-def closeness(e: DataFrame, pivots: int | None = None) -> DataFrame:
-    """(node, closeness): reached nodes over the sum of distances to them, times the share reached; of the pivots."""
-    graph = _compressed(e)
-    nodes = degrees(e).select("node")
-    picked = nodes if pivots is None else nodes.orderBy(F.md5(col("node").cast("string")), "node").limit(pivots)
 
-    def run(batches):
-        g = graph.value
-        for batch in batches:
-            out = []
-            for s in batch["node"]:
-                _, dist, _ = g.levels(int(np.searchsorted(g.ids, s)))
-                reached, total = int((dist > 0).sum()), int(dist[dist > 0].sum())
-                out.append(reached / total * reached / (len(g.ids) - 1) if total else 0.0)
-            yield pd.DataFrame({"node": batch["node"], "closeness": out})
+def _distances(g: _Paths, source: int) -> np.ndarray:
+    return g.levels(source)[1].astype(float)
 
-    return picked.repartition(16).mapInPandas(run, "node long, closeness double")
+
+def closeness(e: DataFrame, pivots: int | None = 1024) -> DataFrame:
+    """(node, closeness) on the largest component: one over the mean distance to the others, estimated from the distances to
+    all nodes or to a hash sample of pivots. Nodes elsewhere get null."""
+    graph = _compressed(largest_component(e))
+    picked = _picked(graph.value.ids, pivots)
+    found = _summed(e, graph, picked, _distances, "total")
+    chosen = e.sparkSession.createDataFrame(pd.DataFrame({"node": picked}), "node long").withColumn("own", F.lit(1))
+    others = F.lit(len(picked)) - F.coalesce("own", F.lit(0))  # a pivot's distance to itself says nothing
+    return with_all_nodes(e, found.join(chosen, "node", "left").select("node", F.try_divide(others.cast("double"), "total").alias("closeness")), "closeness")
 
 
 def triangles(e: DataFrame) -> DataFrame:
@@ -204,8 +234,8 @@ def _first_contact(t: Tables) -> DataFrame:
 
 
 def _components(t: Tables) -> DataFrame:
-    """Sizes of the components of near edges (three papers or more)."""
-    labels = min_labels(edges(t).filter("papers >= 3").select(col("u").alias("a"), col("v").alias("b")))
+    """Sizes of the components."""
+    labels = min_labels(edges(t).select(col("u").alias("a"), col("v").alias("b")))
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 
 
@@ -217,18 +247,49 @@ def _scopes(t: Tables) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+# The iterative measures in SQL, a table a round; the rounds are many more than the tables need to settle.
+LABEL_ROUNDS, RANK_ROUNDS, POWER_ROUNDS, CORE_ROUNDS = 12, 40, 60, 60
+ARCS = "arcs AS MATERIALIZED (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), outs AS MATERIALIZED (SELECT u AS node, count(*) AS n FROM arcs GROUP BY 1)"
+
+
+def _unrolled(first: str, step: str, rounds: int) -> str:
+    """CTEs of which each but the first is made from the one before."""
+    return ", ".join([ARCS, first.format(i=0), *[step.format(i=i, j=i - 1) for i in range(1, rounds + 1)]])
+
+
+def _unrolled_labels(rounds: int) -> str:
+    return _unrolled("l{i} AS MATERIALIZED (SELECT node, node AS label FROM outs)", "l{i} AS MATERIALIZED (SELECT node, least(any_value(l.label), min(o.label)) AS label FROM l{j} l JOIN arcs ON arcs.u = l.node JOIN (SELECT node AS other, label FROM l{j}) o ON o.other = arcs.v GROUP BY 1)", rounds)
+
+
+def _unrolled_ranks(rounds: int) -> str:
+    return _unrolled("r{i} AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM outs) AS rank FROM outs)", "r{i} AS MATERIALIZED (SELECT arcs.v AS node, 0.15::DOUBLE / (SELECT count(*) FROM outs) + 0.85::DOUBLE * sum(rank / n) AS rank FROM r{j} r JOIN outs USING (node) JOIN arcs ON arcs.u = r.node GROUP BY 1)", rounds)
+
+
+def _unrolled_power(rounds: int) -> str:
+    step = "y{i} AS MATERIALIZED (SELECT x.node, any_value(x.score) + sum(o.score) AS score FROM x{j} x JOIN arcs ON arcs.u = x.node JOIN x{j} o ON o.node = arcs.v GROUP BY 1), x{i} AS MATERIALIZED (SELECT node, score / (SELECT sqrt(sum(score * score)) FROM y{i}) AS score FROM y{i})"
+    largest = f"{_unrolled_labels(LABEL_ROUNDS)}, "
+    first = "x{i} AS MATERIALIZED (SELECT node, 1.0::DOUBLE AS score FROM l" + str(LABEL_ROUNDS) + " WHERE label = (SELECT label FROM l" + str(LABEL_ROUNDS) + " GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1))"
+    return largest + ", ".join([first.format(i=0), *[step.format(i=i, j=i - 1) for i in range(1, rounds + 1)]])
+
+
+def _unrolled_cores(rounds: int) -> str:
+    """A node's next bound is the largest h such that h neighbours have bounds of h or more."""
+    step = "k{i} AS MATERIALIZED (SELECT node, max(least(core, r)) AS core FROM (SELECT arcs.u AS node, k.core, row_number() OVER (PARTITION BY arcs.u ORDER BY k.core DESC) AS r FROM arcs JOIN k{j} k ON k.node = arcs.v) GROUP BY 1)"
+    return _unrolled("k{i} AS MATERIALIZED (SELECT node, n AS core FROM outs)", step, rounds)
+
+
 QUERIES = {
     "coauthor_edges": Query("u:l v:l papers:l", edges, "SELECT * FROM edges", EDGES),
     "degree": Query("node:l degree:l", lambda t: degrees(edges(t)), "SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1", EDGES),
     "first_contact_degree": Query("a:l year:l new:l degree:l", _first_contact, "SELECT a, year, new, sum(new) OVER (PARTITION BY a ORDER BY year) AS degree FROM (SELECT a, year, count(*) AS new FROM (SELECT a, b, min(year) AS year FROM adj GROUP BY 1, 2) GROUP BY 1, 2)", ADJ),
-    "ego_edges": Query("u:l v:l papers:l", _ego, "SELECT * FROM edges WHERE u IN (SELECT p FROM near) AND v IN (SELECT p FROM near)", EDGES + ", ends AS (SELECT u, v, papers FROM edges UNION ALL SELECT v, u, papers FROM edges), near AS (SELECT v AS p FROM ends WHERE u = (SELECT u FROM ends GROUP BY u ORDER BY sum(papers) DESC, u LIMIT 1) ORDER BY papers DESC, v LIMIT 20)"),
+    "ego_edges": Query("u:l v:l papers:l", _ego, "SELECT u, v, papers FROM ends JOIN near a ON a.p = u JOIN near b ON b.p = v WHERE u < v", EDGES + ", ends AS MATERIALIZED (SELECT u, v, papers FROM edges UNION ALL SELECT v, u, papers FROM edges), near AS MATERIALIZED (SELECT v AS p FROM ends WHERE u = (SELECT u FROM ends GROUP BY u ORDER BY sum(papers) DESC, u LIMIT 1) ORDER BY papers DESC, v LIMIT 20)"),
     "communities": Query("venue:s year:l members:l first:l", lambda t: t.authored.groupBy("venue", "year").agg(F.countDistinct("person").alias("members"), F.min("person").alias("first")).filter("members >= 3"), "SELECT venue, year, count(DISTINCT person) AS members, min(person) AS first FROM authored GROUP BY 1, 2 HAVING count(DISTINCT person) >= 3"),
     "scope_probe": Query("scope:s papers:l people:l", _scopes, " UNION ALL ".join(f"SELECT '{n}' AS scope, count(DISTINCT pid) AS papers, count(DISTINCT person) AS people FROM slots JOIN pubs USING (pid) WHERE NOT on_bin AND {c}" for n, c in (("all", "true"), ("journal", "kind = 'journal'"), ("no preprints", "kind <> 'preprint'"), ("open", "has_oa")))),
-    "triangles": Query("node:l triangles:l", lambda t: triangles(edges(t).filter("papers >= 2")), "SELECT node, count(*) AS triangles FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM e2 x JOIN e2 y ON y.u = x.v JOIN e2 z ON z.u = x.u AND z.v = y.v) GROUP BY 1", EDGES + ", e2 AS (SELECT u, v FROM edges WHERE papers >= 2)"),
-    "components": Query("label:l size:l", _components, "SELECT label, count(*) AS size FROM (SELECT node, min(root) AS label FROM reach GROUP BY 1) GROUP BY 1", EDGES + ", s AS (SELECT u, v FROM edges WHERE papers >= 3 UNION SELECT v, u FROM edges WHERE papers >= 3), w AS (WITH RECURSIVE r(node, root) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON s.u = r.node) SELECT * FROM r), reach AS (SELECT * FROM w)"),
-    "pagerank": Query("node:l rank:d", lambda t: pagerank(edges(t), tolerance=1e-7, max_rounds=12)),
-    "eigenvector": Query("node:l score:d", lambda t: eigenvector(edges(t), tolerance=1e-6, max_rounds=12)),
-    "kcore": Query("node:l core:l", lambda t: kcore(edges(t))),
-    "betweenness_sampled": Query("node:l betweenness:d", lambda t: betweenness(edges(t), 64)),
-    "closeness_sampled": Query("node:l closeness:d", lambda t: closeness(edges(t), 64)),
+    "triangles": Query("node:l triangles:l", lambda t: triangles(edges(t)), "SELECT node, count(*) AS triangles FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM e2 x JOIN e2 y ON y.u = x.v JOIN e2 z ON z.u = x.u AND z.v = y.v) GROUP BY 1", EDGES + ", e2 AS MATERIALIZED (SELECT u, v FROM edges)"),
+    "components": Query("label:l size:l", _components, f"SELECT label, count(*) AS size FROM l{LABEL_ROUNDS} GROUP BY 1", f"{EDGES}, {_unrolled_labels(LABEL_ROUNDS)}"),
+    "pagerank": Query("node:l rank:d", lambda t: pagerank(edges(t)), f"SELECT node, rank FROM r{RANK_ROUNDS}", f"{EDGES}, {_unrolled_ranks(RANK_ROUNDS)}"),
+    "eigenvector": Query("node:l score:d", lambda t: eigenvector(edges(t)), f"SELECT node, score FROM x{POWER_ROUNDS}", f"{EDGES}, {_unrolled_power(POWER_ROUNDS)}"),
+    "kcore": Query("node:l core:l", lambda t: kcore(edges(t)), f"SELECT node, core FROM k{CORE_ROUNDS}", f"{EDGES}, {_unrolled_cores(CORE_ROUNDS)}"),
+    "betweenness_sampled": Query("node:l betweenness:d", lambda t: betweenness(edges(t))),
+    "closeness_sampled": Query("node:l closeness:d", lambda t: closeness(edges(t))),
 }

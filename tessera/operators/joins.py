@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.portable import bucket
+from tessera.plans.staging import stage
 from tessera.plans.tables import Query, Tables
 
 col = F.col
-#: The queries with SQL build candidates of one in so many hash buckets of people, as their SQL does; those named _all of everyone.
-ANCHOR_BUCKETS = 40
 AS_OF = 1998
 
 
@@ -25,35 +23,35 @@ def adjacency(t: Tables) -> DataFrame:
 ADJ = "adj AS (SELECT x.person AS a, y.person AS b, x.year, count(*) AS papers FROM authored x JOIN authored y ON x.pid = y.pid AND x.person <> y.person GROUP BY 1, 2, 3)"
 
 
-def anchors(t: Tables, buckets: int = 1) -> DataFrame:
-    """People with three papers as of the year: all, or those in the first of so many hash buckets."""
-    on = t.authored.filter(col("year") <= AS_OF).groupBy("person").agg(F.count("*").alias("papers")).filter("papers >= 3")
-    return (on if buckets == 1 else on.filter(bucket(col("person"), buckets) == 0)).select(col("person").alias("a"))
+def anchors(t: Tables) -> DataFrame:
+    """People with three papers as of the year."""
+    return t.authored.filter(col("year") <= AS_OF).groupBy("person").agg(F.count("*").alias("papers")).filter("papers >= 3").select(col("person").alias("a"))
 
 
-ANCHORS = f"anchors AS (SELECT person AS a FROM authored WHERE year <= {AS_OF} GROUP BY 1 HAVING count(*) >= 3 AND ('0x' || substr(md5(person::VARCHAR), 1, 8))::BIGINT % {ANCHOR_BUCKETS} = 0)"
+ANCHORS = f"anchors AS (SELECT person AS a FROM authored WHERE year <= {AS_OF} GROUP BY 1 HAVING count(*) >= 3)"
 
 
 def neighbours(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(Edges as of the year, degrees as of the year)."""
-    edges = adjacency(t).filter(col("year") <= AS_OF).groupBy("a", "b").agg(F.sum("papers").alias("papers"), F.max("year").alias("last"))
+    """(Edges as of the year, degrees as of the year). The edges are written, since a plan uses them several times."""
+    edges = stage(adjacency(t).filter(col("year") <= AS_OF).groupBy("a", "b").agg(F.sum("papers").alias("papers"), F.max("year").alias("last")), "edges")
     return edges, edges.groupBy("a").agg(F.count("*").alias("degree"))
 
 
-NEIGHBOURS = f"n AS (SELECT a, b, sum(papers) AS papers, max(year) AS last FROM adj WHERE year <= {AS_OF} GROUP BY 1, 2), deg AS (SELECT a, count(*) AS degree FROM n GROUP BY 1)"
+NEIGHBOURS = f"n AS MATERIALIZED (SELECT a, b, sum(papers) AS papers, max(year) AS last FROM adj WHERE year <= {AS_OF} GROUP BY 1, 2), deg AS (SELECT a, count(*) AS degree FROM n GROUP BY 1)"
 
 
-def candidates(t: Tables, buckets: int = 1) -> DataFrame:
-    """People two steps from an anchor and not one step, with what the people between say of them."""
-    edges, degree = neighbours(t)
-    one = edges.join(anchors(t, buckets), "a").select("a", col("b").alias("via"), col("papers").alias("p1"))
-    two = edges.select(col("a").alias("via"), "b", col("papers").alias("p2"))
-    hop = one.join(two, "via").filter("a <> b").join(degree.select(col("a").alias("via"), "degree"), "via")
-    far = hop.join(edges.select("a", "b"), ["a", "b"], "left_anti")
-    return far.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(1.0 / F.log(F.greatest(col("degree"), F.lit(2)).cast("double"))).alias("adamic"), F.sum(F.lit(1.0) / col("degree")).alias("allocation"), F.max(F.least("p1", "p2")).alias("strength"))
+def candidates(t: Tables, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """People two steps from an anchor and not one step, with what the people between say of them. A step over a hub is
+    split by the skew join, as both sides are plain exchanges of written tables."""
+    edges, degree = known or neighbours(t)
+    one = edges.join(anchors(t), "a").select("a", col("b").alias("via"), col("papers").alias("p1"))
+    two = edges.join(degree, "a").select(col("a").alias("via"), "b", col("papers").alias("p2"), "degree")
+    hop = one.join(two, "via").filter("a <> b")
+    sums = hop.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(1.0 / F.log(F.greatest(col("degree"), F.lit(2)).cast("double"))).alias("adamic"), F.sum(F.lit(1.0) / col("degree")).alias("allocation"), F.max(F.least("p1", "p2")).alias("strength"))
+    return sums.join(edges.select("a", "b"), ["a", "b"], "left_anti")
 
 
-CANDIDATES = "cand AS (SELECT x.a, y.b, count(*) AS common, sum(1 / ln(greatest(d.degree, 2)::DOUBLE)) AS adamic, sum(1.0::DOUBLE / d.degree) AS allocation, max(least(x.papers, y.papers)) AS strength FROM n x JOIN anchors USING (a) JOIN n y ON y.a = x.b AND y.b <> x.a JOIN deg d ON d.a = x.b WHERE NOT EXISTS (SELECT 1 FROM n z WHERE z.a = x.a AND z.b = y.b) GROUP BY 1, 2)"
+CANDIDATES = "cand AS MATERIALIZED (SELECT x.a, y.b, count(*) AS common, sum(1 / ln(greatest(d.degree, 2)::DOUBLE)) AS adamic, sum(1.0::DOUBLE / d.degree) AS allocation, max(least(x.papers, y.papers)) AS strength FROM n x JOIN anchors USING (a) JOIN n y ON y.a = x.b AND y.b <> x.a JOIN deg d ON d.a = x.b WHERE NOT EXISTS (SELECT 1 FROM n z WHERE z.a = x.a AND z.b = y.b) GROUP BY 1, 2)"
 GRAPH_CTES = f"{ADJ}, {ANCHORS}, {NEIGHBOURS}, {CANDIDATES}"
 
 
@@ -71,22 +69,23 @@ def _history(t: Tables) -> DataFrame:
     return q.join(per, ["person", "venue"]).filter("year < q").groupBy("person", "q").agg(F.sum("n").alias("before"), F.countDistinct("venue").alias("venues"))
 
 
-def _origin(t: Tables, buckets: int = 1) -> DataFrame:
+def _origin(t: Tables) -> DataFrame:
     """Where new links of anchors in the years after come from: two steps away, farther, or a newcomer."""
     edges, degree = neighbours(t)
     known = edges.select("a", "b", F.lit(True).alias("old"))
-    new = adjacency(t).filter(col("year").between(AS_OF + 1, AS_OF + 2)).join(anchors(t, buckets), "a").select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-    two = candidates(t, buckets).select("a", "b", F.lit(True).alias("near"))
+    new = adjacency(t).filter(col("year").between(AS_OF + 1, AS_OF + 2)).join(anchors(t), "a").select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    two = candidates(t, (edges, degree)).join(new, ["a", "b"], "left_semi").select("a", "b", F.lit(True).alias("near"))
     seen = degree.select(col("a").alias("b"), F.lit(True).alias("seen"))
     kind = F.when(col("near"), "distance 2").when(col("seen"), "farther").otherwise("newcomer")
     return new.join(two, ["a", "b"], "left").join(seen, "b", "left").groupBy(kind.alias("origin")).agg(F.count("*").alias("links"))
 
 
-def _features(t: Tables, buckets: int = 1) -> DataFrame:
-    _, degree = neighbours(t)
+def features(t: Tables) -> DataFrame:
+    """Candidates with similarity measures, and whether they become co-authors in the two years after."""
+    edges, degree = neighbours(t)
     d = lambda c: degree.select(col("a").alias(c), col("degree").alias(f"d{c}"))
     future = adjacency(t).filter(col("year").between(AS_OF + 1, AS_OF + 2)).select("a", "b", F.lit(1).alias("y")).distinct()
-    pair = candidates(t, buckets).join(d("a"), "a").join(d("b"), "b").join(future, ["a", "b"], "left")
+    pair = candidates(t, (edges, degree)).join(d("a"), "a").join(d("b"), "b").join(future, ["a", "b"], "left")
     return pair.withColumns({"jaccard": col("common") / (col("da") + col("db") - col("common")), "attachment": col("da") * col("db"), "y": F.coalesce("y", F.lit(0))})
 
 
@@ -98,10 +97,7 @@ QUERIES = {
     "authors_in_both": Query("person:l n_x:l n_y:l", _both, "SELECT person, n_x, n_y FROM (SELECT person, count(*) AS n_x FROM slots JOIN pubs USING (pid) WHERE NOT on_bin AND venue = (SELECT min(venue) FROM pubs) GROUP BY 1) JOIN (SELECT person, count(*) AS n_y FROM slots JOIN pubs USING (pid) WHERE NOT on_bin AND venue = (SELECT max(venue) FROM pubs) GROUP BY 1) USING (person)"),
     "pair_papers": Query("a:l b:l papers:l first:l last:l", lambda t: adjacency(t).filter("a < b").groupBy("a", "b").agg(F.sum("papers").alias("papers"), F.min("year").alias("first"), F.max("year").alias("last")).filter("papers >= 3"), "SELECT a, b, sum(papers) AS papers, min(year) AS first, max(year) AS last FROM adj WHERE a < b GROUP BY 1, 2 HAVING sum(papers) >= 3", ADJ),
     "range_history": Query("person:l q:l before:l venues:l", _history, "SELECT x.person, x.year AS q, sum(y.n) AS before, count(DISTINCT y.venue) AS venues FROM h x JOIN h y ON x.person = y.person AND x.venue = y.venue AND y.year < x.year GROUP BY 1, 2", "h AS (SELECT person, venue, year, count(*) AS n FROM authored GROUP BY 1, 2, 3)"),
-    "two_hop_candidates": Query("a:l b:l common:l adamic:d allocation:d strength:l", lambda t: candidates(t, ANCHOR_BUCKETS), "SELECT * FROM cand", GRAPH_CTES),
-    "link_features": Query("a:l b:l common:l jaccard:d attachment:l y:l", lambda t: _features(t, ANCHOR_BUCKETS), f"SELECT c.a, c.b, common, common / (x.degree + z.degree - common) AS jaccard, x.degree * z.degree AS attachment, coalesce(f.y, 0) AS y FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN {AS_OF + 1} AND {AS_OF + 2}) f ON f.a = c.a AND f.b = c.b", GRAPH_CTES),
-    "new_link_origin": Query("origin:s links:l", lambda t: _origin(t, ANCHOR_BUCKETS), f"SELECT CASE WHEN EXISTS (SELECT 1 FROM cand WHERE cand.a = w.a AND cand.b = w.b) THEN 'distance 2' WHEN EXISTS (SELECT 1 FROM deg WHERE deg.a = w.b) THEN 'farther' ELSE 'newcomer' END AS origin, count(*) AS links FROM (SELECT DISTINCT adj.a, adj.b FROM adj JOIN anchors USING (a) WHERE year BETWEEN {AS_OF + 1} AND {AS_OF + 2} AND NOT EXISTS (SELECT 1 FROM n WHERE n.a = adj.a AND n.b = adj.b)) w GROUP BY 1", GRAPH_CTES),
-    "two_hop_candidates_all": Query("a:l b:l common:l adamic:d allocation:d strength:l", candidates),
-    "link_features_all": Query("a:l b:l common:l jaccard:d attachment:l y:l", _features),
-    "new_link_origin_all": Query("origin:s links:l", _origin),
+    "two_hop_candidates": Query("a:l b:l common:l adamic:d allocation:d strength:l", candidates, "SELECT * FROM cand", GRAPH_CTES),
+    "link_features": Query("a:l b:l common:l jaccard:d attachment:l y:l", features, f"SELECT c.a, c.b, common, common / (x.degree + z.degree - common) AS jaccard, x.degree * z.degree AS attachment, coalesce(f.y, 0) AS y FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN {AS_OF + 1} AND {AS_OF + 2}) f ON f.a = c.a AND f.b = c.b", GRAPH_CTES),
+    "new_link_origin": Query("origin:s links:l", _origin, f"SELECT CASE WHEN EXISTS (SELECT 1 FROM cand WHERE cand.a = w.a AND cand.b = w.b) THEN 'distance 2' WHEN EXISTS (SELECT 1 FROM deg WHERE deg.a = w.b) THEN 'farther' ELSE 'newcomer' END AS origin, count(*) AS links FROM (SELECT DISTINCT adj.a, adj.b FROM adj JOIN anchors USING (a) WHERE year BETWEEN {AS_OF + 1} AND {AS_OF + 2} AND NOT EXISTS (SELECT 1 FROM n WHERE n.a = adj.a AND n.b = adj.b)) w GROUP BY 1", GRAPH_CTES),
 }

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import bucket, jaro_winkler, share, tokens
-from tessera.operators.joins import ANCHOR_BUCKETS, GRAPH_CTES, _features
+from tessera.operators.joins import GRAPH_CTES, features
 from tessera.operators.retrieval import COSINE, cosine_top
+from tessera.plans.staging import stage
 from tessera.plans.tables import Query, Tables
 
 col = F.col
@@ -116,14 +117,26 @@ def _wilson(t: Tables) -> DataFrame:
 
 
 def pair_features(t: Tables) -> DataFrame:
-    """Pairs of people of one name: shared co-authors and venues, and how close their years are."""
-    people = t.persons.filter("page_kind = 'numbered'")
-    with_ = t.authored.select("pid", "person").join(t.authored.select("pid", col("person").alias("other")), "pid").filter("person <> other").groupBy("person").agg(F.collect_set("other").alias("others"))
-    own = t.authored.groupBy("person").agg(F.collect_set("venue").alias("venues"), F.min("year").alias("first"), F.max("year").alias("last"))
-    x = people.join(own, "person").join(with_, "person", "left").select("name", "person", "venues", "first", "last", F.coalesce("others", F.array().cast("array<bigint>")).alias("others"))
-    side = lambda s: x.select("name", *[col(c).alias(f"{c}_{s}") for c in ("person", "venues", "first", "last", "others")])
-    p = side("a").join(side("b"), "name").filter("person_a < person_b")
-    return p.select("person_a", "person_b", F.size(F.array_intersect("others_a", "others_b")).alias("shared"), F.size(F.array_intersect("venues_a", "venues_b")).alias("venues"), F.greatest(F.lit(0), F.greatest("first_a", "first_b") - F.least("last_a", "last_b")).alias("gap"), F.size("others_a").alias("na"), F.size("others_b").alias("nb"))
+    """Pairs of people of one name: shared co-authors and venues, and how close their years are.
+
+    Shared neighbours are counted by joining (name, other) rows, not by comparing sets: a pair meets once for each neighbour
+    it shares, and a hot name is split by the skew join."""
+    people = t.persons.filter("page_kind = 'numbered'").select("person", "name")
+    authored = t.authored.select("pid", "person", "venue", "year")
+    met = authored.select("pid", "person").join(authored.select("pid", col("person").alias("other")), "pid").filter("person <> other").select("person", "other").distinct()
+    own = authored.groupBy("person").agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    x = stage(people.join(own, "person").join(met.groupBy("person").agg(F.count("*").alias("n")), "person", "left").fillna(0, ["n"]), "people")
+
+    def common(rows: DataFrame, key: str, name: str) -> DataFrame:
+        rows = stage(rows.join(x.select("person", "name"), "person"), name)
+        side = lambda s: rows.select("name", key, col("person").alias(f"person_{s}"))
+        return side("a").join(side("b"), ["name", key]).filter("person_a < person_b").groupBy("person_a", "person_b").agg(F.count("*").alias(name))
+
+    shared, venues = common(met, "other", "shared"), common(authored.select("person", "venue").distinct(), "venue", "venues")
+    side = lambda s: x.select("name", *[col(c).alias(f"{c}_{s}") for c in ("person", "first", "last", "n")])
+    pairs = side("a").join(side("b"), "name").filter("person_a < person_b").join(shared, ["person_a", "person_b"], "left").join(venues, ["person_a", "person_b"], "left").fillna(0, ["shared", "venues"])
+    gap = F.greatest(F.lit(0), F.greatest("first_a", "first_b") - F.least("last_a", "last_b"))
+    return pairs.select("person_a", "person_b", "shared", "venues", gap.alias("gap"), col("n_a").alias("na"), col("n_b").alias("nb"))
 
 
 def _nb(t: Tables) -> DataFrame:
@@ -138,18 +151,18 @@ def _nb(t: Tables) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
-def _rank_metrics(t: Tables, buckets: int = 1) -> DataFrame:
+def _rank_metrics(t: Tables) -> DataFrame:
     """MRR, hits and precision of candidate links ordered by Adamic-Adar, ties by a hash."""
     jitter = F.md5(F.concat(col("a").cast("string"), F.lit("-"), col("b").cast("string")))
     w = Window.partitionBy("a").orderBy(F.round("adamic", 6).desc(), jitter)
-    r = _features(t, buckets).withColumn("rank", F.row_number().over(w))
+    r = features(t).withColumn("rank", F.row_number().over(w))
     per = r.groupBy("a").agg(F.min(F.when(col("y") == 1, col("rank"))).alias("first"), F.sum(F.when(col("rank") <= 5, col("y"))).alias("top"), F.sum("y").alias("all")).filter(col("all") > 0)
     return per.agg(F.count("*").alias("queries"), F.avg(1.0 / col("first")).alias("mrr"), F.avg((col("first") <= 5).cast("int")).alias("hits5"), F.avg(col("top") / 5).alias("p5"))
 
 
-def _calibration(t: Tables, buckets: int = 1) -> DataFrame:
+def _calibration(t: Tables) -> DataFrame:
     """How often candidates come true, by bins of their Jaccard similarity."""
-    return _features(t, buckets).groupBy(F.least(F.floor(col("jaccard") * 50 + 1e-9), F.lit(9)).alias("bin")).agg(F.count("*").alias("pairs"), F.avg("y").alias("came"))
+    return features(t).groupBy(F.least(F.floor(col("jaccard") * 50 + 1e-9), F.lit(9)).alias("bin")).agg(F.count("*").alias("pairs"), F.avg("y").alias("came"))
 
 
 def bcubed(df: DataFrame, truth: str, found: str) -> DataFrame:
@@ -177,7 +190,7 @@ def link_model(t: Tables, rounds: int = 20) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    f = _features(t).select("a", "b", col("y").cast("double").alias("y"), *[col(c).cast("double") for c in ("common", "adamic", "allocation", "jaccard", "attachment", "strength")])
+    f = features(t).select("a", "b", col("y").cast("double").alias("y"), *[col(c).cast("double") for c in ("common", "adamic", "allocation", "jaccard", "attachment", "strength")])
     x = VectorAssembler(inputCols=["common", "adamic", "allocation", "jaccard", "attachment", "strength"], outputCol="features").transform(f)
     test = bucket(col("a") + 1, 10) < 3
     model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=4, seed=7).fit(x.filter(~test))
@@ -186,12 +199,13 @@ def link_model(t: Tables, rounds: int = 20) -> DataFrame:
     return model.transform(x.filter(test)).select("a", "b", "y", vector_to_array("probability")[1].alias("p"))
 
 
-def agglomerate(distance: np.ndarray, cut: float) -> np.ndarray:
-    """Average-linkage clusters of a distance matrix, merged while the least distance is within the cut."""
+def agglomerate(distance: np.ndarray, cut: float, size: np.ndarray | None = None) -> np.ndarray:
+    """Average-linkage clusters of a distance matrix, merged while the least distance is within the cut; a row may stand for
+    ``size`` equal items."""
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    size, label, alive = np.ones(n) if size is None else size.astype(float), np.arange(n), np.ones(n, bool)
     while alive.sum() > 1:
         i, j = divmod(int(np.argmin(d)), n)
         if d[i, j] > cut:
@@ -207,14 +221,16 @@ def agglomerate(distance: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def cluster_blocks(t: Tables, cut: float = 0.9, most: int = 300) -> DataFrame:
-    """People of one name clustered by the share of common venues. A block's first ``most`` people, by id, are clustered
-    together and the next ones by themselves, so that a task never holds more than one such part."""
-    own = t.authored.groupBy("person").agg(F.collect_set("venue").alias("venues")).join(t.persons.filter("page_kind = 'numbered'"), "person")
-    parts = own.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("name").orderBy("person")) - 1) / most))
+def cluster_blocks(t: Tables, cut: float = 0.9) -> DataFrame:
+    """People of one name clustered by the share of common venues; a cluster is named by its smallest person.
+
+    People with equal sets of venues are at distance 0, so that average linkage merges them first: a task gets each set once,
+    with the number of people that have it, and its matrix grows with the distinct sets of a name, not with its people."""
+    own = t.authored.groupBy("person").agg(F.array_sort(F.collect_set("venue")).alias("venues")).join(t.persons.filter("page_kind = 'numbered'").select("person", "name"), "person")
+    kinds = stage(own.groupBy("name", "venues").agg(F.count("*").alias("n"), F.min("person").alias("first")), "kinds")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("person")
+        pdf = pdf.sort_values("first")
         names = sorted({v for x in pdf["venues"] for v in x})
         at = {v: i for i, v in enumerate(names)}
         m = np.zeros((len(pdf), len(names)))
@@ -222,10 +238,12 @@ def cluster_blocks(t: Tables, cut: float = 0.9, most: int = 300) -> DataFrame:
             m[r, [at[v] for v in x]] = 1
         common = m @ m.T
         either = m.sum(1)[:, None] + m.sum(1)[None, :] - common
-        ids = pdf["person"].to_numpy()
-        return pd.DataFrame({"person": ids, "cluster": ids[agglomerate(1 - common / np.maximum(either, 1), cut)]})
+        ids = pdf["first"].to_numpy()
+        label = agglomerate(1 - common / np.maximum(either, 1), cut, pdf["n"].to_numpy())
+        return pd.DataFrame({"name": pdf["name"], "venues": pdf["venues"], "cluster": ids[label]})
 
-    return parts.select("name", "part", "person", "venues").groupBy("name", "part").applyInPandas(run, "person long, cluster long")
+    found = kinds.groupBy("name").applyInPandas(run, "name string, venues array<string>, cluster long")
+    return own.join(found, ["name", "venues"]).select("person", "cluster")
 
 
 QUERIES = {
@@ -236,13 +254,11 @@ QUERIES = {
     "wilson": Query("venue:s n:l low:d high:d", _wilson, "SELECT venue, n, (p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS low, (p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) AS high FROM (SELECT venue, count(*)::DOUBLE AS n, avg(has_oa::INT) AS p, 1.959964::DOUBLE AS z FROM pubs GROUP BY 1)"),
     "pair_features": Query("person_a:l person_b:l shared:l venues:l gap:l na:l nb:l", pair_features, "SELECT a.person AS person_a, b.person AS person_b, len(list_intersect(a.others, b.others)) AS shared, len(list_intersect(a.venues, b.venues)) AS venues, greatest(0, greatest(a.first, b.first) - least(a.last, b.last)) AS gap, len(a.others) AS na, len(b.others) AS nb FROM x a JOIN x b ON a.name = b.name AND a.person < b.person", "w AS (SELECT a.person, list(DISTINCT b.person) AS others FROM authored a JOIN authored b ON a.pid = b.pid AND a.person <> b.person GROUP BY 1), o AS (SELECT person, list(DISTINCT venue) AS venues, min(year) AS first, max(year) AS last FROM authored GROUP BY 1), x AS (SELECT name, person, venues, first, last, coalesce(others, []) AS others FROM persons JOIN o USING (person) LEFT JOIN w USING (person) WHERE page_kind = 'numbered')"),
     "nb_centroid_scores": Query("item_id:l source:s score:d known:l rank:l", _nb, "SELECT item_id, source, score, known, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source) AS rank FROM (SELECT item_id, source, round(sum(ln(n + 0.1::DOUBLE) - ln(0.1::DOUBLE) - ln((docs + 1)::DOUBLE)), 6) AS score, count(*) AS known FROM q JOIN n USING (token) JOIN p USING (source) GROUP BY 1, 2) QUALIFY rank <= 5", "e AS (SELECT DISTINCT id, source, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM texts), n AS (SELECT token, source, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT source, count(*) AS docs FROM texts GROUP BY 1), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark)"),
-    "rank_metrics": Query("queries:l mrr:d hits5:d p5:d", lambda t: _rank_metrics(t, ANCHOR_BUCKETS), "SELECT count(*) AS queries, avg(1.0::DOUBLE / first) AS mrr, avg((first <= 5)::INT) AS hits5, avg(top / 5.0::DOUBLE) AS p5 FROM (SELECT a, min(rank) FILTER (y = 1) AS first, sum(y) FILTER (rank <= 5) AS top, sum(y) AS all_ FROM (SELECT c.a, coalesce(f.y, 0) AS y, row_number() OVER (PARTITION BY c.a ORDER BY round(adamic, 6) DESC, md5(c.a::VARCHAR || '-' || c.b::VARCHAR)) AS rank FROM cand c LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b) GROUP BY 1 HAVING sum(y) > 0)", GRAPH_CTES),
-    "calibration": Query("bin:l pairs:l came:d", lambda t: _calibration(t, ANCHOR_BUCKETS), "SELECT least(floor(common / (x.degree + z.degree - common) * 50 + 1e-9), 9) AS bin, count(*) AS pairs, avg(coalesce(f.y, 0)) AS came FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b GROUP BY 1", GRAPH_CTES),
+    "rank_metrics": Query("queries:l mrr:d hits5:d p5:d", _rank_metrics, "SELECT count(*) AS queries, avg(1.0::DOUBLE / first) AS mrr, avg((first <= 5)::INT) AS hits5, avg(top / 5.0::DOUBLE) AS p5 FROM (SELECT a, min(rank) FILTER (y = 1) AS first, sum(y) FILTER (rank <= 5) AS top, sum(y) AS all_ FROM (SELECT c.a, coalesce(f.y, 0) AS y, row_number() OVER (PARTITION BY c.a ORDER BY round(adamic, 6) DESC, md5(c.a::VARCHAR || '-' || c.b::VARCHAR)) AS rank FROM cand c LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b) GROUP BY 1 HAVING sum(y) > 0)", GRAPH_CTES),
+    "calibration": Query("bin:l pairs:l came:d", _calibration, "SELECT least(floor(common / (x.degree + z.degree - common) * 50 + 1e-9), 9) AS bin, count(*) AS pairs, avg(coalesce(f.y, 0)) AS came FROM cand c JOIN deg x ON x.a = c.a JOIN deg z ON z.a = c.b LEFT JOIN (SELECT DISTINCT a, b, 1 AS y FROM adj WHERE year BETWEEN 1999 AND 2000) f ON f.a = c.a AND f.b = c.b GROUP BY 1", GRAPH_CTES),
     "bcubed": Query("items:l precision:d recall:d", lambda t: bcubed(t.persons, "name", "brand"), "SELECT sum(n) AS items, sum(n * n / nb) / sum(n) AS precision, sum(n * n / na) / sum(n) AS recall FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY name) AS na, sum(count(*)) OVER (PARTITION BY brand) AS nb FROM persons GROUP BY name, brand)"),
     "vector_precision": Query("want:l neighbours:l precision:d", _vectors, "SELECT want, count(*) AS neighbours, avg((want = label)::INT) AS precision FROM cos GROUP BY 1", COSINE),
     "jaro_resolve": Query("name:s other:s s:d", jaro_resolve, "SELECT a.name, b.name AS other, round(jaro_winkler_similarity(a.name, b.name), 6) AS s FROM (SELECT DISTINCT name FROM persons) a JOIN (SELECT DISTINCT name FROM persons) b ON substr(a.name, 1, 3) = substr(b.name, 1, 3) AND a.name < b.name AND abs(length(a.name) - length(b.name)) <= 6 WHERE round(jaro_winkler_similarity(a.name, b.name), 6) >= 0.86"),
-    "rank_metrics_all": Query("queries:l mrr:d hits5:d p5:d", _rank_metrics),
-    "calibration_all": Query("bin:l pairs:l came:d", _calibration),
     "gbt_train": Query("a:l b:l y:d p:d", link_model),
     "cluster_blocks": Query("person:l cluster:l", cluster_blocks),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("analytics", "joins", "graph", "retrieval", "learning", "tools", "records")
+MODULES = ("analytics", "joins", "graph", "retrieval", "search", "learning", "tools", "records")
 
 
 def all_queries() -> dict:

@@ -1,18 +1,25 @@
 """Intermediate tables in the folder that driver and executors share.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it back: the files outlive
-any executor, and a later stage starts from them instead of recomputing. Only where the setting is absent (a local
-test session) does a folder of this process take its place.
+any executor, and a later stage starts from them instead of recomputing. A local session, whose driver is its only
+executor, may leave the setting out; a folder of this process then takes its place. On a cluster that is an error.
+
+Tables are removed when nothing reads them any more: ``drop`` removes one, as loops do with the state of the round before,
+and ``scope`` removes what was written inside it but for the tables it is told to keep.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 @functools.cache
 def _own_folder() -> str:
@@ -21,16 +28,50 @@ def _own_folder() -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder as a URI, without a trailing slash."""
-    conf = spark.sparkContext.getConf()
-    return (conf.get("spark.checkpoint.dir") or _own_folder()).rstrip("/")
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._staged_at = path
+    return made
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _written:
+        _written.remove(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that ``stage`` returned; nothing may read them any more."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            _remove(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes, at its end, all tables staged inside it that are not in the list it gives."""
+    before, kept = set(_written), []
+    try:
+        yield kept
+    finally:
+        stay = {getattr(df, "_staged_at", None) for df in kept}
+        for path in [p for p in _written if p not in before and p not in stay]:
+            _remove(spark, path)

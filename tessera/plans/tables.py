@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import title_norm
+from tessera.plans.staging import stage
 
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def once(self, name: str, make) -> DataFrame:
+        """make(self), written when it is first asked for: for what a plan reads several times."""
+        if name not in self._made:
+            self._made[name] = stage(make(self), name)
+        return self._made[name]
+
     @functools.cached_property
     def pubs(self) -> DataFrame:
         kind = F.when(F.col("o_orderstatus") == "F", "conference").when(F.col("o_orderstatus") == "O", "journal").otherwise("preprint")

@@ -42,14 +42,14 @@ def rows(spark, sf, name):
 
 def test_candidates(spark, sf, slow):
     near, later, anchors, found = slow
-    got = {(r["a"], r["b"]): r for r in rows(spark, sf, "two_hop_candidates_all")}
+    got = {(r["a"], r["b"]): r for r in rows(spark, sf, "two_hop_candidates")}
     assert set(got) == set(found) and len({a for a, _ in found}) > len(anchors) / 40
     for (a, b), via in found.items():
         r = got[a, b]
         assert r["common"] == len(via) and r["strength"] == max(min(near[a][v], near[v][b]) for v in via)
         assert math.isclose(r["adamic"], sum(1 / math.log(max(len(near[v]), 2)) for v in via), abs_tol=1e-5)
         assert math.isclose(r["allocation"], sum(1 / len(near[v]) for v in via), abs_tol=1e-5)
-    for r in rows(spark, sf, "link_features_all"):
+    for r in rows(spark, sf, "link_features"):
         a, b = r["a"], r["b"]
         both = len(near[a]) * len(near[b])
         assert (r["attachment"], r["y"]) == (both, int((a, b) in later))
@@ -60,19 +60,19 @@ def test_measures(spark, sf, slow):
     near, later, anchors, found = slow
     new = {(a, b) for a, b in later if a in anchors and b not in near[a]}
     want = Counter("distance 2" if p in found else "farther" if near[p[1]] else "newcomer" for p in new)
-    assert {r["origin"]: r["links"] for r in rows(spark, sf, "new_link_origin_all")} == dict(want)
+    assert {r["origin"]: r["links"] for r in rows(spark, sf, "new_link_origin")} == dict(want)
     bins = defaultdict(list)
     for (a, b), via in found.items():
         n = len(via)
         bins[min(9, math.floor(n / (len(near[a]) + len(near[b]) - n) * 50 + 1e-9))].append(int((a, b) in later))
-    got = {r["bin"]: (r["pairs"], round(r["came"], 5)) for r in rows(spark, sf, "calibration_all")}
+    got = {r["bin"]: (r["pairs"], round(r["came"], 5)) for r in rows(spark, sf, "calibration")}
     assert got == {k: (len(v), round(sum(v) / len(v), 5)) for k, v in bins.items()}
     ranked = defaultdict(list)
-    for r in rows(spark, sf, "two_hop_candidates_all"):
+    for r in rows(spark, sf, "two_hop_candidates"):
         ranked[r["a"]].append((-r["adamic"], hashlib.md5(f"{r['a']}-{r['b']}".encode()).hexdigest(), (r["a"], r["b"]) in later))
     hit = [[y for *_, y in sorted(x)] for x in ranked.values()]
     hit = [x for x in hit if any(x)]
-    (m,) = rows(spark, sf, "rank_metrics_all")
+    (m,) = rows(spark, sf, "rank_metrics")
     assert m["queries"] == len(hit) and math.isclose(m["mrr"], sum(1 / (x.index(True) + 1) for x in hit) / len(hit), abs_tol=1e-5)
     assert math.isclose(m["p5"], sum(sum(x[:5]) for x in hit) / 5 / len(hit), abs_tol=1e-5)
 
