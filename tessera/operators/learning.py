@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.portable import bucket, jaro_winkler, share, tokens
+from tessera.functions.ranks import before
 from tessera.operators.joins import GRAPH_CTES, features
 from tessera.operators.retrieval import COSINE, cosine_top
 from tessera.plans.staging import stage
@@ -63,6 +64,47 @@ def _growth(t: Tables) -> DataFrame:
     return n.groupBy("kind").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("years"))
 
 
+PERIODS = ((1995, 2000), (1995, 1997), (1998, 2000))
+
+
+def _growth_periods(t: Tables) -> DataFrame:
+    """Yearly growth of each kind and of all, in three periods, with Student's interval for the slope and the doubling time."""
+    n = t.pubs.groupBy("kind", "year").agg(F.count("*").alias("n"))
+    n = n.unionByName(t.pubs.groupBy(F.lit("all").alias("kind"), "year").agg(F.count("*").alias("n")))
+    spans = F.broadcast(t.spark.createDataFrame([(a, b, t_quantile(0.975, b - a - 1)) for a, b in PERIODS], "since int, until int, quantile double"))
+    y, x = F.log("n"), col("year").cast("double")
+    fit = n.join(spans, col("year").between(col("since"), col("until"))).groupBy("kind", "since", "until", "quantile")
+    # the residual sum of squares is syy - slope * sxy
+    fit = fit.agg(F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count("*").alias("years"))
+    half = col("quantile") * F.sqrt(F.greatest(col("syy") - col("slope") * col("sxy"), F.lit(0.0)) / (col("years") - 2) / col("sxx"))
+    return fit.select("kind", "since", "until", "slope", "r2", (col("slope") - half).alias("low"), (col("slope") + half).alias("high"), F.when(F.abs("slope") > 1e-9, F.log(F.lit(2.0)) / col("slope")).alias("doubling"))
+
+
+def _top_share(t: Tables) -> DataFrame:
+    """Mean, median and largest number of papers a person, and the share of the most productive hundredth (at least one)."""
+    n = t.slots.filter("NOT on_bin").groupBy("person").agg(F.count("*").alias("v"))
+    h = n.groupBy("v").agg(F.count("*").alias("c"))
+    totals = n.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.median("v").alias("mid"), F.max("v").alias("most"), F.greatest(F.lit(1), F.floor(F.count("*") / 100)).alias("k"))
+    ranked = before(h, [col("v").desc()], {"above": col("c")}).crossJoin(F.broadcast(totals))
+    taken = F.sum(F.greatest(F.lit(0), F.least(col("c"), col("k") - col("above"))) * col("v"))
+    return ranked.groupBy("n", "s", "mid", "most", "k").agg((taken / col("s")).alias("top"))
+
+
+def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Agreement of two whole-number labels beyond chance, disagreements weighted by their squared distance, from counts."""
+    cell = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    pa, pb = cell.groupBy(col(a).alias("x")).agg(F.sum("n").alias("na")), cell.groupBy(col(b).alias("y")).agg(F.sum("n").alias("nb"))
+    seen = cell.agg(F.sum("n").alias("n"), F.sum(col("n") * (col(a) - col(b)) ** 2).alias("seen"))
+    chance = pa.crossJoin(F.broadcast(pb)).agg(F.sum(col("na") * col("nb") * (col("x") - col("y")) ** 2).alias("chance"))  # a row a label
+    return seen.crossJoin(F.broadcast(chance)).select("n", (1 - F.try_divide(col("seen") * col("n"), col("chance"))).alias("kappa"))
+
+
+def _weighted(t: Tables) -> DataFrame:
+    """Of a customer's segment number and nation modulo five."""
+    number = F.length("c_mktsegment") % 5
+    return weighted_kappa(t.table("customer").select(number.alias("a"), (col("c_nationkey") % 5).alias("b")), "a", "b")
+
+
 def growth_interval(rows: list[tuple[float, float]], level: float = 0.95) -> tuple[float, float, float]:
     """(Slope, low, high) of log counts on years, with Student's interval; for a handful of yearly totals."""
     x, y = (np.array(v, float) for v in zip(*rows, strict=True))
@@ -77,8 +119,7 @@ def growth_interval(rows: list[tuple[float, float]], level: float = 0.95) -> tup
 def _gini(t: Tables) -> DataFrame:
     """Gini coefficient, share of the top hundredth and power-law exponent of papers a person, from the histogram."""
     n = t.slots.filter("NOT on_bin").groupBy("person").agg(F.count("*").alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct value
-    h = n.select("v", "c", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("below"), F.coalesce(F.sum(col("c") * col("v")).over(up), F.lit(0)).alias("mass"))
+    h = before(n, [col("v")], {"mass": col("c") * col("v")})  # a row for each distinct value
     total = h.agg(F.sum("c").alias("n"), F.sum(col("c") * col("v")).alias("s"))
     area = F.sum(col("c") * (2 * col("mass") + col("c") * col("v")))
     tail = F.when(col("v") >= 20, col("c"))
@@ -88,8 +129,7 @@ def _gini(t: Tables) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Ranks with ties at their mean, from counts of distinct values."""
     n = df.groupBy(value).agg(F.count("*").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.select(value, (below + (col("c") + 1) / 2).alias(name)), value)
+    return df.join(before(n, [col(value)], {"below": col("c")}).select(value, (col("below") + (col("c") + 1) / 2).alias(name)), value)
 
 
 def _spearman(t: Tables) -> DataFrame:
@@ -247,6 +287,21 @@ def cluster_blocks(t: Tables, cut: float = 0.9) -> DataFrame:
 
 
 QUERIES = {
+    "growth_periods": Query(
+        "kind:s since:l until:l slope:d r2:d low:d high:d doubling:d", _growth_periods,
+        "SELECT kind, since, until, slope, r2, slope - q * half AS low, slope + q * half AS high, CASE WHEN abs(slope) > 1e-9 THEN ln(2) / slope END AS doubling FROM (SELECT kind, since, until, q, regr_slope(ln(n), year) AS slope, regr_r2(ln(n), year) AS r2, "
+        "sqrt(greatest(regr_syy(ln(n), year) - regr_slope(ln(n), year) * regr_sxy(ln(n), year), 0) / (count(*) - 2) / regr_sxx(ln(n), year)) AS half FROM g JOIN p ON year BETWEEN since AND until GROUP BY 1, 2, 3, 4)",
+        "g AS (SELECT kind, year, count(*)::DOUBLE AS n FROM pubs GROUP BY 1, 2 UNION ALL SELECT 'all', year, count(*) FROM pubs GROUP BY 2), p(since, until, q) AS (VALUES " + ", ".join(f"({a}, {b}, {t_quantile(0.975, b - a - 1)!r}::DOUBLE)" for a, b in PERIODS) + ")",
+    ),
+    "top_share": Query(
+        "n:l s:l mid:d most:l k:l top:d", _top_share,
+        "SELECT n, s, mid, most, k, (SELECT sum(v) FROM (SELECT v FROM per ORDER BY v DESC LIMIT (SELECT greatest(1, count(*) // 100) FROM per))) / s AS top FROM (SELECT count(*) AS n, sum(v) AS s, median(v) AS mid, max(v) AS most, greatest(1, count(*) // 100) AS k FROM per)",
+        "per AS (SELECT person, count(*) AS v FROM slots WHERE NOT on_bin GROUP BY 1)",
+    ),
+    "weighted_kappa": Query(
+        "n:l kappa:d", _weighted,
+        "SELECT count(*) AS n, 1 - sum((a - b) ** 2) / (SELECT sum((x.a - y.b) ** 2) / count(*) FROM l x CROSS JOIN l y) / count(*) AS kappa FROM l", "l AS (SELECT length(c_mktsegment) % 5 AS a, c_nationkey % 5 AS b FROM customer)",
+    ),
     "growth_rate_ols": Query("kind:s slope:d intercept:d r2:d years:l", _growth, "SELECT kind, regr_slope(ln(n), year) AS slope, regr_intercept(ln(n), year) AS intercept, regr_r2(ln(n), year) AS r2, count(*) AS years FROM (SELECT kind, year, count(*) AS n FROM pubs WHERE year <= 2000 GROUP BY 1, 2) GROUP BY 1"),
     "gini_tail": Query("n:l s:l gini:d alpha:d", _gini, "SELECT n, s, 1 - sum(c * (2 * coalesce(mass, 0) + c * v)) / (n::DOUBLE * s) AS gini, 1 + sum(c) FILTER (v >= 20) / sum(c * ln(v / 19.5)) FILTER (v >= 20) AS alpha FROM (SELECT v, c, sum(c * v) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mass, sum(c) OVER () AS n, sum(c * v) OVER () AS s FROM (SELECT v, count(*) AS c FROM (SELECT person, count(*) AS v FROM slots WHERE NOT on_bin GROUP BY 1) GROUP BY 1)) GROUP BY n, s"),
     "spearman": Query("people:l rho:d", _spearman, "SELECT count(*) AS people, corr(ra, rb) AS rho FROM (SELECT rank() OVER (ORDER BY papers) + (count(*) OVER (PARTITION BY papers) - 1) / 2.0 AS ra, rank() OVER (ORDER BY orcid) + (count(*) OVER (PARTITION BY orcid) - 1) / 2.0 AS rb FROM (SELECT person, count(*) AS papers, sum(has_orcid::INT) AS orcid FROM slots WHERE NOT on_bin GROUP BY 1))"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranks import before, with_total
 from tessera.plans.tables import Query, Tables
 
 col = F.col
@@ -48,8 +49,8 @@ def oa_gaps(t: Tables, k: int = 10) -> DataFrame:
 def survival(t: Tables) -> DataFrame:
     """The share of people with at least v papers, from a row a distinct number of papers."""
     h = t.slots.filter("NOT on_bin").groupBy("person").agg(F.count("*").alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    up = F.sum("c").over(Window.orderBy(col("v").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return h.select("v", "c", up.alias("least"), F.sum("c").over(Window.partitionBy()).alias("n")).withColumn("share", col("least") / col("n"))
+    up = before(h, [col("v").desc()], {"above": col("c")}).withColumn("least", col("above") + col("c"))
+    return with_total(up, "c", "n").withColumn("share", col("least") / col("n"))
 
 
 def threshold_curve(t: Tables) -> DataFrame:
