@@ -85,7 +85,7 @@ def author_papers(t: Tables, first: int | None = 1996, last: int | None = 1999,
 
 def name_search(t: Tables) -> DataFrame:
     """People whose name holds each of some texts: exact names first, then by papers, with how many share the name."""
-    wanted = F.broadcast(t.spark.createDataFrame([("steel",), ("red",), ("an",)], "q string"))
+    wanted = F.broadcast(t.spark.createDataFrame([("widget",), ("cold",), ("cold bolt",)], "q string"))
     papers = t.slots.groupBy("person").agg(F.count("*").alias("papers"))
     same = t.persons.groupBy("name").agg(F.count("*").alias("namesakes"))
     hits = t.persons.join(wanted, F.contains(F.lower("name"), col("q"))).join(papers, "person", "left").fillna(0, ["papers"]).join(same, "name")
@@ -165,7 +165,7 @@ def top_venues(t: Tables, first: int = 1996, last: int = 1999, least: int = 5, k
 
 def venue_fuzzy(t: Tables) -> DataFrame:
     """Venues by a part of the name, else by the closest spelling. There are few venues, so all are compared."""
-    wanted = F.broadcast(t.spark.createDataFrame([("an",), ("germny",), ("unted states",), ("xyzzyx",)], "q string"))
+    wanted = F.broadcast(t.spark.createDataFrame([("nation_1",), ("natoin_2",), ("nation 7x",), ("xyzzyx",)], "q string"))
     v = t.pubs.groupBy("venue").agg(F.count("*").alias("papers"))
     pairs = v.crossJoin(wanted).withColumn("holds", F.contains(F.lower("venue"), col("q"))).withColumn("s", F.round(jaro_winkler(F.lower("venue"), "q"), 6))
     some = pairs.withColumn("any", F.bool_or("holds").over(Window.partitionBy("q"))).filter(col("holds") | (~col("any") & (col("s") >= FUZZY)))
@@ -203,7 +203,7 @@ def graph_shape(t: Tables) -> DataFrame:
     return d.crossJoin(F.broadcast(closed)).select("nodes", "edges", (2 * col("edges") / (col("nodes") * (col("nodes") - 1))).alias("density"), F.try_divide("closed", "wedges").alias("transitivity"))
 
 
-SEARCH = "wanted(q) AS (VALUES ('steel'), ('red'), ('an'))"
+SEARCH = "wanted(q) AS (VALUES ('widget'), ('cold'), ('cold bolt'))"
 TOGETHER = "tog AS MATERIALIZED (SELECT x.person, y.person AS other, count(*) AS papers, max(x.year) AS last FROM authored x JOIN authored y ON x.pid = y.pid AND x.person <> y.person GROUP BY 1, 2)"
 PAPER = "paper AS (SELECT pid, max(n_authors) AS n, bool_or(on_bin) AS unknown, bool_or(has_orcid) AS orcid FROM slots GROUP BY 1)"
 CLOSED = f"{EDGES}, deg AS MATERIALIZED (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1), tri AS MATERIALIZED (SELECT node, count(*) AS triangles FROM (SELECT unnest([x.u, x.v, y.v]) AS node FROM edges x JOIN edges y ON y.u = x.v JOIN edges z ON z.u = x.u AND z.v = y.v) GROUP BY 1)"
@@ -261,7 +261,7 @@ QUERIES = {
     "venue_fuzzy": Query(
         "q:s rank:l venue:s papers:l", venue_fuzzy,
         f"""SELECT q, row_number() OVER (PARTITION BY q ORDER BY (lower(venue) = q) DESC, CASE WHEN hit THEN 0 ELSE s END DESC, papers DESC, venue) AS rank, venue, papers FROM (SELECT *, bool_or(holds) OVER (PARTITION BY q) AS hit FROM (
-            SELECT q, venue, papers, contains(lower(venue), q) AS holds, round(jaro_winkler_similarity(lower(venue), q), 6) AS s FROM (SELECT venue, count(*) AS papers FROM pubs GROUP BY 1), (VALUES ('an'), ('germny'), ('unted states'), ('xyzzyx')) w(q)))
+            SELECT q, venue, papers, contains(lower(venue), q) AS holds, round(jaro_winkler_similarity(lower(venue), q), 6) AS s FROM (SELECT venue, count(*) AS papers FROM pubs GROUP BY 1), (VALUES ('nation_1'), ('natoin_2'), ('nation 7x'), ('xyzzyx')) w(q)))
             WHERE holds OR (NOT hit AND s >= {FUZZY}) QUALIFY rank <= 8""",
     ),
     "records_by_year": Query(

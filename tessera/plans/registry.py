@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("analytics", "joins", "graph", "retrieval", "search", "learning", "tools", "records", "profiles")
+MODULES = ("analytics", "joins", "graph", "retrieval", "search", "learning", "tools", "records", "profiles", "venues")
 
 
 def all_queries() -> dict:
