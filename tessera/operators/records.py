@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ranks import before, with_total
 from tessera.plans.tables import Query, Tables
+from tessera.sources import files
 
 col = F.col
 #: Steps of the grid on which a threshold is tuned.
@@ -87,7 +88,18 @@ def rank_overlap(t: Tables, k: int = 50) -> DataFrame:
 VENUES = "SELECT person, venue, count(*) AS n, min(year) AS first, max(year) AS last FROM slots JOIN pubs USING (pid) WHERE NOT on_bin GROUP BY 1, 2"
 SPLIT = "deg AS (SELECT person, count(*) FILTER (NOT bin) AS people, count(*) FILTER (bin) AS bins FROM (SELECT DISTINCT a.person, b.person AS other, b.on_bin AS bin FROM slots a JOIN slots b USING (pid) WHERE NOT a.on_bin AND a.person <> b.person AND a.n_authors BETWEEN 2 AND 50) GROUP BY 1)"
 
+def reports(t: Tables) -> DataFrame:
+    """Text reports of the nations of each region, a title, a header, dashes and rows each, taken apart again."""
+    nation = t.table("nation").join(t.table("region"), col("n_regionkey") == col("r_regionkey"))
+    row = F.concat(col("n_name"), F.lit("  "), F.format_string("%,d", col("n_nationkey") * 1000), F.lit("  "), col("n_nationkey").cast("string"), F.lit("%"))
+    lines = nation.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+    text = lines.select(F.concat(F.lit("=== "), "r_name", F.lit("\nname  n  share\n----  -  -----\n"), "rows", F.lit("\n\nloose note\n")).alias("value"))
+    found = text.lateralJoin(files.ReportSections(col("value").outer())).filter("row > 0")
+    return found.select("title", F.get("cells", F.lit(0)).alias("name"), files.number(F.get("cells", F.lit(1))).alias("n"), files.number(F.get("cells", F.lit(2))).alias("share"))
+
+
 QUERIES = {
+    "report_sections": Query("title:s name:s n:d share:d", reports, "SELECT r_name AS title, n_name AS name, n_nationkey * 1000 AS n, n_nationkey AS share FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "author_detail": Query("person:l papers:l first:l last:l venues:l main:s", author_detail, f"SELECT person, sum(n) AS papers, min(first) AS first, max(last) AS last, count(*) AS venues, arg_min(venue, (-n, venue)) AS main FROM ({VENUES}) GROUP BY 1"),
     "degree_split": Query("person:l people:l bins:l", degree_split, "SELECT * FROM deg", SPLIT),
     "paper_detail": Query("pid:l year:l venue:s authors:s orcids:l bins:l", paper_detail, "SELECT pid, year, venue, authors, orcids, bins FROM pubs JOIN (SELECT pid, string_agg(name, '; ' ORDER BY position) AS authors, count(*) FILTER (has_orcid) AS orcids, count(*) FILTER (on_bin) AS bins FROM slots JOIN persons USING (person) GROUP BY 1) USING (pid)"),

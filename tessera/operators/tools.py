@@ -131,5 +131,5 @@ QUERIES = {
     "timeseries_metric": Query("year:l value:d", lambda t: timeseries(t, "open"), "SELECT year, avg(has_oa::INT) AS value FROM pubs WHERE kind <> 'preprint' GROUP BY 1"),
     "top_entities": Query("person:l name:s papers:l", top_entities, "SELECT person, name, papers FROM (SELECT person, count(*) AS papers FROM slots WHERE NOT on_bin GROUP BY 1) JOIN persons USING (person) ORDER BY papers DESC, person LIMIT 20"),
     "namesakes": Query("name:s people:l papers:l on_bins:l", namesakes, "SELECT name, count(*) FILTER (page_kind = 'numbered') AS people, coalesce(sum(n) FILTER (page_kind = 'numbered'), 0) AS papers, coalesce(sum(n) FILTER (page_kind <> 'numbered'), 0) AS on_bins FROM (SELECT name, page_kind, coalesce(n, 0) AS n FROM persons LEFT JOIN (SELECT person, count(*) AS n FROM slots GROUP BY 1) USING (person)) GROUP BY 1 HAVING count(*) FILTER (page_kind = 'numbered') > 1"),
-    "sql_guard": Query("statement:s outcome:s n:l", _guard),
+    "sql_guard": Query("statement:s outcome:s n:l", _guard, "SELECT * FROM (VALUES ('SELECT count(*) FROM pubs', 'ok', 1), ('DROP VIEW pubs', 'refused', 0), ('SELECT 1; SELECT 2', 'refused', 0), ('SELECT * FROM parquet.`/etc/x`', 'refused', 0), ('WITH a AS (SELECT venue FROM pubs) SELECT count(DISTINCT venue) FROM a', 'ok', 1), ('INSERT INTO pubs SELECT * FROM pubs', 'refused', 0)) v(statement, outcome, n)"),
 }
