@@ -643,39 +643,68 @@ def tiles(image_blocks: np.ndarray) -> np.ndarray:
     return out
 
 
+def is_420(image: Image) -> bool:
+    return [c[1:3] for c in image.components] == [(2, 2), (1, 1), (1, 1)]
+
+
 def units_of(image: Image) -> np.ndarray:
     """Rows (units, 6) of block numbers of a 4:2:0 image."""
     across, down = image.units
-    if [c[1:3] for c in image.components] != [(2, 2), (1, 1), (1, 1)]:
-        raise ValueError("not a 4:2:0 image")
     n = across * down
     luma = np.empty(4 * n, np.int64)
     luma[_raster(across, down)] = image.base[0] + np.arange(4 * n)
     return np.concatenate([luma.reshape(n, 4), image.base[1] + np.arange(n)[:, None], image.base[2] + np.arange(n)[:, None]], axis=1)
 
 
+def canvas(image: Image, coef: np.ndarray) -> np.ndarray:
+    """RGB of any image of one component (grey) or three (YCbCr), whatever their sampling, padded to whole units: each plane is
+    put together from its blocks and repeated to full resolution."""
+    if len(image.components) not in (1, 3):
+        raise ValueError(f"{len(image.components)} components are neither grey nor YCbCr")
+    most_h, most_v = max(c[1] for c in image.components), max(c[2] for c in image.components)
+    y, x = np.arange(8 * most_v * image.units[1]), np.arange(8 * most_h * image.units[0])
+    planes = []
+    for (_, h, v, q), base in zip(image.components, image.base, strict=True):
+        across, down = image.units[0] * h, image.units[1] * v
+        blocks = pixels(coef[base : base + across * down] * image.quantisers[q])
+        plane = blocks.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
+        planes.append(plane[(y * v // most_v)[:, None], x * h // most_h].astype(np.int32))
+    if len(planes) == 1:
+        return np.repeat(planes[0].astype(np.uint8)[..., None], 3, axis=2)
+    luma, cb, cr = planes[0] << 16, planes[1] - 128, planes[2] - 128
+    half = 1 << 15
+    return np.stack([np.clip(v >> 16, 0, 255) for v in (luma + 91881 * cr + half, luma - 22554 * cb - 46802 * cr + half, luma + 116130 * cb + half)], axis=2).astype(np.uint8)
+
+
 def tensor(image: Image, own: np.ndarray) -> np.ndarray:
-    """The full-resolution (height, width, 3) tensor from an image's tiles."""
+    """The full-resolution (height, width, 3) tensor from an image's tiles or canvas."""
     across, down = image.units
-    return own.reshape(down, across, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(16 * down, 16 * across, 3)[: image.height, : image.width]
+    whole = own.reshape(down, across, 16, 16, 3).transpose(0, 2, 1, 3, 4).reshape(16 * down, 16 * across, 3) if own.ndim == 4 else own
+    return whole[: image.height, : image.width]
 
 
 def decode(files: list[bytes]) -> list[tuple[Image, bytes, np.ndarray]]:
-    """For each file: its header, the payload that encode() stored, and its RGB tiles."""
+    """For each file: its header, the payload that encode() stored (empty for other files), and its RGB: tiles, if it is 4:2:0, or
+    a canvas."""
     images, coef = coefficients(files)
-    units = [units_of(im) for im in images]
+    plain = [im for im in images if is_420(im)]
+    units = [units_of(im) for im in plain]
     order = np.concatenate(units) if units else np.empty((0, 6), np.int64)
     blocks = coef[order.ravel()]
     samples = np.empty((len(blocks), 8, 8), np.uint8)
-    scale = np.concatenate([np.repeat([[im.quantisers[c[3]] for c in im.components]], len(u), axis=0) for im, u in zip(images, units, strict=True)])[:, [0, 0, 0, 0, 1, 2]].reshape(-1, 64) if any((q != 1).any() for im in images for q in im.quantisers.values()) else None
+    scaled = any((q != 1).any() for im in plain for q in im.quantisers.values())
+    scale = np.concatenate([np.repeat([[im.quantisers[c[3]] for c in im.components]], len(u), axis=0) for im, u in zip(plain, units, strict=True)])[:, [0, 0, 0, 0, 1, 2]].reshape(-1, 64) if scaled else None
     for i in range(0, len(blocks), 6 << 10):
         part = blocks[i : i + (6 << 10)]
         samples[i : i + len(part)] = pixels(part if scale is None else part * scale[i : i + len(part)])
     rgb = tiles(samples.reshape(-1, 6, 8, 8))
-    out, at = [], 0
-    for im, u in zip(images, units, strict=True):
+    out, at, left = [], 0, iter(units)
+    for im in images:
+        if not is_420(im):
+            out.append((im, b"", canvas(im, coef)))
+            continue
+        n = len(next(left))
         stored = re.fullmatch(rb"payload (\d+)", im.comment)
-        n = int(stored[1]) if stored else 0
-        out.append((im, blocks[6 * at : 6 * (at + len(u))].astype(np.int8).tobytes()[:n], rgb[at : at + len(u)]))
-        at += len(u)
+        out.append((im, blocks[6 * at : 6 * (at + n)].astype(np.int8).tobytes()[: int(stored[1]) if stored else 0], rgb[at : at + n]))
+        at += n
     return out

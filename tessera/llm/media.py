@@ -6,7 +6,8 @@ tensor itself comes with ``tensors``. Batches are cut into runs of about a megab
 the largest single text.
 
 Nulls and edge cases: a null text is an empty one, which has 64 zero bytes. Equal texts give equal media and features.
-An empty table gives an empty result; other columns stay as they are.
+An empty table gives an empty result; of other columns only those with the names of the results are replaced.
+Media may be any progressive JPEG of one or three components, whatever their sampling.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """The JPEG codec: round trips, a scalar decoder, and features."""
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 
@@ -160,3 +161,72 @@ def test_tensors(spark, hard):
     for r in rows:
         t = r["tensor"]
         assert len(t["data"]) == t["height"] * t["width"] * 3 == t["height"] * t["width"] * t["channels"]
+
+
+def plain_rgb(data):
+    """RGB by the book: the scalar decoder's coefficients, the cosine sum, chroma repeated, the float matrix of JFIF."""
+    image, _ = jpeg._parse(data, 0)
+    across, down = image.width // 16, image.height // 16
+    coef, planes, at = scalar_coefficients(data), [], 0
+    k = np.arange(8)
+    basis = np.where(k == 0, 0.125**0.5, 0.5)[:, None] * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
+    for h in (2, 1, 1):
+        n = across * h * down * h
+        plane = np.zeros((8 * down * h, 8 * across * h))
+        for i in range(n):
+            natural = np.zeros(64)
+            natural[jpeg.ZIGZAG] = coef[at + i]
+            y, x = divmod(i, across * h)
+            plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis.T @ natural.reshape(8, 8) @ basis + 128
+        planes.append(np.clip(np.kron(plane, np.ones((2 // h, 2 // h))), 0, 255))
+        at += n
+    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+    return np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2), 0, 255)
+
+
+def test_colours(spark):
+    """Tensors and features against the book, colour and chroma included."""
+    texts = ["hello colourful world " * 30, "\u00e9\u00fc" * 200, "", "x" * 64 * 24]
+    rows = media.tensors(media.store(spark.createDataFrame(list(enumerate(texts)), "i long, text string"))).collect()
+    for r in rows:
+        want = plain_rgb(r["media"])
+        got = np.frombuffer(r["tensor"]["data"], np.uint8).reshape(r["tensor"]["height"], r["tensor"]["width"], 3)
+        assert got.shape == want.shape and np.abs(got.astype(float) - want).max() <= 2.5
+        image, _, tiles = jpeg.decode([r["media"]])[0]
+        size, numbers = media.feature(image, tiles).split(";")
+        mean = [float(x) for x in numbers.split(",")]
+        assert size == f"{want.shape[1]}x{want.shape[0]}" and np.abs(np.array(mean[:3]) - want.mean(axis=(0, 1))).max() < 1 and np.abs(np.array(mean[3:]) - want.std(axis=(0, 1))).max() < 1.5
+
+
+def flat(levels, sampling):
+    """A progressive JPEG of flat blocks: levels[c] are a component's DC values, block by block, under a quantiser of 8."""
+    seg = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    width, height = 8 * most_h * 2, 8 * most_v
+    out = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([8] * 64)) + seg(0xC2, struct.pack(">BHHB", 8, height, width, len(sampling)) + b"".join(bytes([c + 1, h << 4 | v, 0]) for c, (h, v) in enumerate(sampling)))
+    out += seg(0xC4, bytes([0, 0, 0, 0, 12] + [0] * 12 + list(range(12))))
+    for c, values in enumerate(levels):
+        bits, last = "", 0
+        for v in values:
+            d, last = v - last, v
+            size = abs(d).bit_length()
+            bits += f"{size:04b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+        raw = int(bits + "1" * (-len(bits) % 8), 2).to_bytes(-(-len(bits) // 8), "big")
+        out += seg(0xDA, bytes([1, c + 1, 0, 0, 0, 0])) + raw.replace(b"\xff", b"\xff\x00")
+    return out + b"\xff\xd9", width, height
+
+
+@pytest.mark.parametrize("sampling", [[(1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)]], ids=["grey", "444", "422"])
+def test_other_samplings(sampling):
+    """Grey, full and halved chroma, beside files of the encoder in one batch."""
+    levels = [[5 * (c + 1) + 7 * i for i in range(2 * max(h for h, _ in sampling) // max(h for h, _ in sampling) * h)] for c, (h, _) in enumerate(sampling)]
+    data, width, height = flat(levels, sampling)
+    own = jpeg.encode([b"beside" + bytes(58)])[0]
+    (image, payload, rgb), (_, kept, _) = jpeg.decode([data, own])
+    assert kept == b"beside" + bytes(58) and payload == b""
+    got = jpeg.tensor(image, rgb)
+    assert got.shape == (height, width, 3)
+    y = np.repeat([v + 128 for v in levels[0]], width // len(levels[0]))
+    cb, cr = ([0.0] * width, [0.0] * width) if len(levels) == 1 else (np.repeat(levels[c], width // len(levels[c])) for c in (1, 2))
+    want = np.stack([y + 1.402 * np.array(cr), y - 0.344136 * np.array(cb) - 0.714136 * np.array(cr), y + 1.772 * np.array(cb)], axis=1)
+    assert np.abs(got.astype(float) - np.clip(want, 0, 255)[None]).max() <= 1.5
