@@ -234,19 +234,38 @@ def _links(batches: Iterator[pd.DataFrame], threshold: int = 3) -> Iterator[pd.D
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints ``fp``.
 
-    Replicas that are alone at their anchor are dropped by a count that combines before its shuffle. An anchor of more
-    than ``block`` fingerprints is cut into c blocks by a hash; each block goes to the c tasks that pair it."""
+    Replicas that are alone at their anchor are dropped by a count that combines before its shuffle. Where more than
+    ``block`` fingerprints meet, the bits outside the anchor's field tell them apart: cut into one piece more than bits may
+    differ, two that link agree in one piece at least, so that the fingerprints are compared per anchor, piece and its
+    value, and no link is lost. What is still crowded then is cut into c blocks by a hash; each goes to the c tasks that
+    pair it."""
     placed = stage(distinct.select("fp").mapInArrow(_replicated, "anchor long, fp long"), "anchors")
-    met = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stage(placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "met")
+    crowded = met.filter(F.col("n") > block)
+    shared = placed.join(met, "anchor")
+    if not crowded.isEmpty():
+        pieces = stage(placed.join(crowded.select("anchor"), "anchor").select(_pieces(), "fp"), "pieces")
+        again = pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = shared.filter(F.col("n") <= block).unionByName(pieces.join(again, "anchor").select("anchor", "fp", "n"))
     c = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    shared = placed.join(met, "anchor").select("anchor", "fp", c.alias("c")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
-    dealt = shared.select(
+    cut = shared.select("anchor", "fp", c.alias("c")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    dealt = cut.select(
         "anchor", "fp", "block", F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("c") - 1))).alias("other")
     ).select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     sorted_ = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "fp")
     return sorted_.mapInPandas(_links, "a long, b long")
 
 
+def _pieces(threshold: int = 3, fields: int = 2):
+    """For a replica at an anchor: an id for each piece of the bits outside the anchor's field, with the piece's value."""
+    f = F.shiftright("anchor", BITS // fields + 1)
+    width = BITS // fields
+    other = F.when(f == 0, F.shiftrightunsigned("fp", width)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << width) - 1)))
+    size = width // (threshold + 1)
+    ids = [F.xxhash64("anchor", F.lit(i), F.shiftright(other, i * size).bitwiseAND(F.lit((1 << size) - 1))) for i in range(threshold + 1)]
+    return F.explode(F.array(*ids)).alias("anchor")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs, which have ``doc_id`` and ``fp``, with the component: ``root``, its smallest fingerprint in signed order, and
     ``component_id``."""

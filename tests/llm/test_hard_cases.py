@@ -216,6 +216,40 @@ def test_held_out_labels(spark, sf="/root/testdata/sf0.1"):
         assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros)) > 0.9
 
 
+# SimHash
+
+
+def test_crowded_anchors(spark):
+    """However many fingerprints meet at an anchor, and however they are dealt, their components are those of all pairs."""
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for f in list(fps):
+        for _ in range(8):
+            g = f
+            for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+                g ^= 1 << b
+            fps.add(g)
+    base = rng.getrandbits(32)
+    fps |= {base << 32 | rng.getrandbits(6) << 9 | rng.getrandbits(2) for _ in range(150)}  # one field in common
+    want = brute.components(list(fps))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    for block in (4, 10, 4096):
+        up = {signed(f): signed(f) for f in fps}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for r in simhash.links(frame, block).collect():
+            assert ((r["a"] ^ r["b"]) & ((1 << 64) - 1)).bit_count() <= 3
+            x, y = root(r["a"]), root(r["b"])
+            up[max(x, y)] = min(x, y)
+        groups = lambda of: Counter(frozenset(k for k in of if of[k] == v) for v in set(of.values()))
+        assert groups({f: root(f) for f in up}) == groups({signed(k): v for k, v in want.items()})
+
+
 # Columns with the operators' names
 
 NAMES = ["doc", "row", "key", "h", "at", "size", "range", "place", "shard", "slot", "base", "spans", "loose", "hits", "edge", "span", "half", "first", "n", "set", "fp", "root", "component_id",
