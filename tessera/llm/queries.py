@@ -58,7 +58,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"),
         F.round(F.coalesce(F.array_max("licenses.dice"), F.lit(0.0)), 6).alias("best_dice"),

@@ -155,7 +155,9 @@ def bigrams(text):
 def licenses(text, templates, threshold=0.8):
     best = {}
     text = text or ""
-    for part in {*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text), text}:
+    lines, paragraphs = text.split("\n"), re.split(r"\n[ \t\r]*\n", text)
+    runs = ["\n".join(x[i : i + n]) for x in (lines, paragraphs) for n in (1, 2, 3, 4) for i in range(len(x) - n + 1)]
+    for part in {*runs, *re.split(r"[.!?][ \t\r\n]+", text), text}:
         a = bigrams(part)
         for name, template in templates:
             b = bigrams(template)

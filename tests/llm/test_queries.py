@@ -162,7 +162,10 @@ def test_licenses(spark, where):
 
     docs = table(spark, where, "documents", "doc_id", "text")
     extra = [t for _, t in licenses.TEMPLATES] + ["x\n" + licenses.TEMPLATES[3][1].replace(". ", ".\n") + "\n\nmore", "Released under MIT License.", licenses.TEMPLATES[5][1] * 2, "all rights reserved all rights reserved"]
+    extra += ["Foo is great. Released under the MIT License. Enjoy.", "# Licensed under the\n# Apache License,\n# Version 2.0.\ncode()", "code\n\n" + licenses.TEMPLATES[3][1] + "\n\n" + next(t for n, t in licenses.TEMPLATES if "as is" in t.lower() and n == "MIT") + "\n\nmore code"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in docs] + extra)], "id long, text string")
-    for r in licenses.scan(frame).collect():
+    found = licenses.scan(frame).collect()
+    assert all(found[-k]["licenses"] for k in (1, 2, 3)) and len(found) == len(docs) + len(extra)
+    for r in found:
         want = brute.licenses(r["text"], licenses.TEMPLATES)
         assert {x["license"]: round(x["dice"], 9) for x in r["licenses"]} == {k: round(v, 9) for k, v in want.items()}, r["text"][:80]
