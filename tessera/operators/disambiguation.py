@@ -131,9 +131,10 @@ def both_ways(t: Tables) -> DataFrame:
 
 def assignments(t: Tables) -> DataFrame:
     """For each person with three instances or more, the first is held out and scored against every person of the name: the best,
-    its lead over the next, how far it stands out, its strongest link, and whether it is right and would be named."""
+    its lead over the next, how far it stands out, its strongest link, and whether it is right and would be named. Means are
+    taken of millionths, as whole numbers, so that ties are ties in every engine."""
     mine = instances(t).groupBy("name", "person").agg(F.count("*").alias("n"), F.min("pid").alias("held")).filter("n >= 3").select("name", col("person").alias("person_a"), col("held").alias("pid_a"))
-    s = both_ways(t).join(mine, ["name", "person_a", "pid_a"]).groupBy("name", "person_a", "pid_a", "person_b").agg(F.round(F.avg("score"), 6).alias("score"), F.max("score").alias("link"))
+    s = both_ways(t).join(mine, ["name", "person_a", "pid_a"]).groupBy("name", "person_a", "pid_a", "person_b").agg(F.expr("(sum(CAST(round(score * 1e6) AS BIGINT)) div count(*)) / 1e6").alias("score"), F.max("score").alias("link"))
     w = Window.partitionBy("name", "person_a")
     ranked = s.withColumn("r", F.row_number().over(w.orderBy(col("score").desc(), "person_b")))
     other = F.when(col("r") > 1, col("score"))
@@ -232,7 +233,7 @@ prs AS MATERIALIZED (SELECT *, round({' + '.join(f'{w}::DOUBLE * {c}' for c, w i
 HELD = f"""{CTES},
 sym AS (SELECT name, pid_a, person_a, person_b, score FROM prs UNION ALL SELECT name, pid_b, person_b, person_a, score FROM prs),
 hold AS (SELECT name, person, min(pid) AS held FROM ins GROUP BY 1, 2 HAVING count(*) >= 3),
-sco AS (SELECT name, person_a, pid_a, person_b, round(avg(score), 6) AS score, max(score) AS link FROM sym JOIN hold USING (name) WHERE person = person_a AND held = pid_a GROUP BY 1, 2, 3, 4),
+sco AS (SELECT name, person_a, pid_a, person_b, (sum(round(score * 1e6)::BIGINT) // count(*)) / 1e6::DOUBLE AS score, max(score) AS link FROM sym JOIN hold USING (name) WHERE person = person_a AND held = pid_a GROUP BY 1, 2, 3, 4),
 rkd AS (SELECT *, row_number() OVER (PARTITION BY name, person_a ORDER BY score DESC, person_b) AS r FROM sco),
 dec AS (SELECT name, person_a, pid_a, max(person_b) FILTER (r = 1) AS person_b, max(score) FILTER (r = 1) AS score, max(link) FILTER (r = 1) AS link, coalesce(max(score) FILTER (r = 2), 0) AS next, avg(score) FILTER (r > 1) AS mean, stddev_pop(score) FILTER (r > 1) AS sd, count(*) FILTER (r > 1) AS others FROM rkd GROUP BY 1, 2, 3),
 asg AS MATERIALIZED (SELECT *, round(score - next, 4) AS margin, round(CASE WHEN others >= 4 THEN (score - mean) / (sd + 1e-6) END, 1) AS z, person_a = person_b AS correct FROM dec)"""
