@@ -87,7 +87,11 @@ class Query:
         self.build, self._sql, self._ctes = build, sql, ctes
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Tables(spark, sf_dir))
+        return self.on(Tables(spark, sf_dir))
+
+    def on(self, tables: Tables) -> DataFrame:
+        """The result over tables that other queries may use too, with what was written for them."""
+        df = self.build(tables)
         one = lambda c, k: F.round(F.col(c).cast("double"), 6) if k == "d" else F.col(c).cast(CASTS[k][0])
         return df.select(*[one(c, k).alias(c) for c, k in self.columns])
 
