@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_copies, sharding, toxicity
 from tessera.llm.columns import kept, packed
-from tessera.plans.staging import stage
+from tessera.plans.staging import drop, scope, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; each result is written, and what its stage wrote on the way is removed, as is the result before it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scope(spark) as kept_tables:
+            docs = stage(step(spark, docs, sf_dir), name)
+            kept_tables.append(docs)
+        drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("analytics", "joins", "graph", "retrieval", "search", "learning", "tools", "records", "profiles", "venues", "links", "disambiguation", "answers", "centrality", "catalog", "relational")
+MODULES = ("analytics", "joins", "graph", "retrieval", "search", "learning", "tools", "records", "profiles", "venues", "links", "disambiguation", "answers", "centrality", "catalog", "relational", "served")
 
 
 def all_queries() -> dict:
