@@ -164,19 +164,14 @@ def pair_features(t: Tables) -> DataFrame:
     people = t.persons.filter("page_kind = 'numbered'").select("person", "name")
     authored = t.authored.select("pid", "person", "venue", "year")
     met = authored.select("pid", "person").join(authored.select("pid", col("person").alias("other")), "pid").filter("person <> other").select("person", "other").distinct()
-    own = authored.groupBy("person").agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    own = authored.groupBy("person").agg(F.min("year").alias("first"), F.max("year").alias("last"), F.collect_set("venue").alias("venues"))  # a person's venues are few
     x = stage(people.join(own, "person").join(met.groupBy("person").agg(F.count("*").alias("n")), "person", "left").fillna(0, ["n"]), "people")
-
-    def common(rows: DataFrame, key: str, name: str) -> DataFrame:
-        rows = stage(rows.join(x.select("person", "name"), "person"), name)
-        side = lambda s: rows.select("name", key, col("person").alias(f"person_{s}"))
-        return side("a").join(side("b"), ["name", key]).filter("person_a < person_b").groupBy("person_a", "person_b").agg(F.count("*").alias(name))
-
-    shared, venues = common(met, "other", "shared"), common(authored.select("person", "venue").distinct(), "venue", "venues")
-    side = lambda s: x.select("name", *[col(c).alias(f"{c}_{s}") for c in ("person", "first", "last", "n")])
-    pairs = side("a").join(side("b"), "name").filter("person_a < person_b").join(shared, ["person_a", "person_b"], "left").join(venues, ["person_a", "person_b"], "left").fillna(0, ["shared", "venues"])
+    rows = stage(met.join(x.select("person", "name"), "person"), "met")
+    side = lambda df, s: df.select("name", *[col(c).alias(f"{c}_{s}") for c in df.columns if c not in ("name", "other")], *[c for c in df.columns if c == "other"])
+    shared = side(rows, "a").join(side(rows, "b"), ["name", "other"]).filter("person_a < person_b").groupBy("person_a", "person_b").agg(F.count("*").alias("shared"))
+    pairs = side(x, "a").join(side(x, "b"), "name").filter("person_a < person_b").join(shared, ["person_a", "person_b"], "left").fillna(0, ["shared"])
     gap = F.greatest(F.lit(0), F.greatest("first_a", "first_b") - F.least("last_a", "last_b"))
-    return pairs.select("person_a", "person_b", "shared", "venues", gap.alias("gap"), col("n_a").alias("na"), col("n_b").alias("nb"))
+    return pairs.select("person_a", "person_b", "shared", F.size(F.array_intersect("venues_a", "venues_b")).alias("venues"), gap.alias("gap"), col("n_a").alias("na"), col("n_b").alias("nb"))
 
 
 def _nb(t: Tables) -> DataFrame:
