@@ -106,17 +106,25 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _runs(parts: Column, joint: str) -> Column:
-    """All runs of one to RUN neighbouring parts; the parts are a lambda's variable, so that they are taken once."""
+def _runs(parts: Column, pattern: str) -> Column:
+    """All runs of one to RUN neighbouring parts, normalised, that hold a word of the pattern. Each part is normalised and
+    searched once; a run holds a word if one of its parts does."""
     none = F.array().cast("array<string>")
-    of = lambda x, n: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, F.lit(n)), joint))).otherwise(none)
-    return F.flatten(F.transform(F.array(parts), lambda x: F.concat(x, *[of(x, n) for n in range(2, RUN + 1)])))
+    marked = F.transform(F.transform(parts, words), lambda w: F.struct(w.alias("w"), w.rlike(pattern).alias("hit")))
 
+    def of(x: Column, n: int) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.exists(F.slice(x, i, F.lit(n)), lambda y: y["hit"]))
+        joined = F.transform(at, lambda i: F.array_join(F.filter(F.transform(F.slice(x, i, F.lit(n)), lambda y: y["w"]), lambda w: w != ""), " "))
+        return F.when((F.size(x) >= n) & F.exists(x, lambda y: y["hit"]), joined).otherwise(none)
 
-def segments(text: Column) -> Column:
-    """The distinct normalised segments of a text."""
-    parts = F.concat(_runs(F.split(text, "\n"), "\n"), F.split(text, r"[.!?][ \t\r\n]+"), _runs(F.split(text, r"\n[ \t\r]*\n"), "\n"), F.array(text))
-    return F.array_distinct(F.transform(parts, words))
+    return F.flatten(F.transform(F.array(marked), lambda x: F.concat(*[of(x, n) for n in range(1, RUN + 1)])))
+
+
+def segments(text: Column, pattern: str) -> Column:
+    """The distinct normalised segments of a text that hold a word of the pattern."""
+    sentences = F.filter(F.transform(F.split(text, r"[.!?][ \t\r\n]+"), words), lambda w: w.rlike(pattern))
+    parts = F.concat(_runs(F.split(text, "\n"), pattern), sentences, _runs(F.split(text, r"\n[ \t\r]*\n"), pattern), F.array(words(text)))
+    return F.array_distinct(parts)
 
 
 def prepared(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[tuple]:
@@ -181,7 +189,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
 
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     some = docs.select(F.monotonically_increasing_id().alias("row"), value.alias("value")).filter(F.lower("value").rlike(pattern))
-    each = some.select("row", F.posexplode(F.filter(segments(F.col("value")), lambda s: F.when(F.length(s) > 0, fits(s) & s.rlike(pattern)).otherwise(False))).alias("segment", "s"))
+    each = some.select("row", F.posexplode(F.filter(segments(F.col("value"), pattern), lambda s: F.when(F.length(s) > 0, fits(s)).otherwise(False))).alias("segment", "s"))
     split = F.split("s", " ")
     pairs = F.zip_with(F.slice(split, F.lit(1), F.size(split) - 1), F.slice(split, F.lit(2), F.size(split) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
     counted = each.select("row", "segment", bigrams(F.col("s")).alias("a"), F.explode(pairs).alias("g")).join(known, "g").filter("a BETWEEN lo AND hi")
