@@ -18,6 +18,7 @@ from tessera.operators.components import min_labels
 from tessera.operators.joins import ADJ, adjacency
 from tessera.plans.staging import drop, stage
 from tessera.plans.tables import Query, Tables
+from tessera.sources import storage
 
 col = F.col
 #: 16 bytes an edge in the adjacency that is broadcast.
@@ -190,6 +191,23 @@ def betweenness(e: DataFrame, sources: int | None = 32_768) -> DataFrame:
     return with_all_nodes(e, found.select("node", (col("x") * scale).alias("betweenness")), "betweenness")
 
 
+def betweenness_in_parts(e: DataFrame, folder: str, sources: int | None = 32_768, batch: int = 1024, most: int | None = None) -> DataFrame | None:
+    """betweenness by batches of sources, each written below a folder before the next. A run that broke off goes on with the
+    batches that are missing; None while some are (``most`` batches a run)."""
+    spark = e.sparkSession
+    graph = _compressed(largest_component(e))
+    n, picked = len(graph.value.ids), _picked(graph.value.ids, sources)
+    parts = [f"{folder}/part-{i:05d}" for i in range(-(-len(picked) // batch))]
+    todo = [i for i, p in enumerate(parts) if not storage.status(spark, f"{p}/_SUCCESS")]
+    for i in todo[:most]:
+        _summed(e, graph, picked[i * batch : (i + 1) * batch], lambda g, s: g.dependencies(s), "x").write.mode("overwrite").parquet(parts[i])
+    if len(todo) > (len(todo) if most is None else most):
+        return None
+    scale = n / max(len(picked), 1) / max((n - 1) * (n - 2), 1)
+    found = spark.read.schema("node long, x double").parquet(*parts).groupBy("node").agg((F.sum("x") * scale).alias("betweenness"))
+    return with_all_nodes(e, found, "betweenness")
+
+
 def _distances(g: _Paths, source: int) -> np.ndarray:
     return g.levels(source)[1].astype(float)
 

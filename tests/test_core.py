@@ -66,6 +66,16 @@ def test_barbell(spark):
     assert labels == {**dict.fromkeys(range(11), 0), 11: 11, 12: 11}
 
 
+def test_betweenness_in_parts(spark, tmp_path):
+    """A run that is broken off and taken up again gives what one run gives."""
+    e = edge_table(spark, [*barbell(), (11, 12)])
+    folder = str(tmp_path / "parts")
+    assert graph.betweenness_in_parts(e, folder, None, 4, most=1) is None
+    whole = {r["node"]: r["betweenness"] for r in graph.betweenness(e, None).collect()}
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness_in_parts(e, folder, None, 4).collect()}
+    assert got.keys() == whole.keys() and all(got[k] == whole[k] or math.isclose(got[k], whole[k]) for k in whole)
+
+
 def test_lollipop(spark):
     e = edge_table(spark, [(10, 20), (10, 30), (20, 30), (30, 40), (40, 50), (50, 60), (60, 70)])
     between = {r["node"]: r["betweenness"] for r in graph.betweenness(e).collect()}

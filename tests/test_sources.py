@@ -87,6 +87,11 @@ def test_versions(spark, tmp_path):
     assert storage.current(spark, root) == (folder, 2) and not failed
     assert [e.name for e in storage.listed(spark, root) if e.is_folder] == [folder.rsplit("/", 1)[-1]]
     assert storage.read_json(spark, f"{folder}/_meta.json")["last_full_year"] == 2025
+    from tessera.plans import status
+
+    now = status.status(spark, root)
+    assert (now["state"], now["generation"], now["meta"]["records"]) == ("ready", 2, 12) and all(status.health(spark, root).values())
+    assert status.status(spark, str(tmp_path / "nothing")) == {"state": "empty", "building": []} and not any(status.health(spark, str(tmp_path / "nothing")).values())
     with_half = f"{root}/serve-x.building"
     spark.range(1).write.parquet(with_half)
     assert storage.newest(spark, root, "serve-") == storage.status(spark, folder).path
@@ -196,3 +201,12 @@ def test_texts_stream(spark, tmp_path):
         spark.range(n).select((F.col("id") + 10 * n).alias("id"), F.lit("x").alias("text")).coalesce(1).write.mode("append").parquet(source)
         follow_texts(spark, source, "id long, text string", mark, target, lambda c: F.array(F.lit(1.0))).awaitTermination()
     assert spark.read.parquet(target).count() == 5
+
+
+def test_warm(spark, sf):
+    from tessera.plans import status
+    from tessera.plans.registry import all_queries
+
+    assert set(status.WARM) <= set(all_queries())
+    got = status.warm(spark, sf, ("overview", "no such query"))
+    assert got["overview"] > 0 and got["no such query"] == -1.0
