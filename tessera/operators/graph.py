@@ -296,6 +296,21 @@ def _unrolled_cores(rounds: int) -> str:
     return _unrolled("k{i} AS MATERIALIZED (SELECT node, n AS core FROM outs)", step, rounds)
 
 
+LEVELS = 8
+
+
+def _unrolled_distances(levels: int, pivots: int = 1024) -> str:
+    """(p, node, d) in table dist: breadth-first levels from the pivots of the largest component; the levels are more than the
+    tables need."""
+    label = f"l{LABEL_ROUNDS}"
+    out = [_unrolled_labels(LABEL_ROUNDS), f"lc AS MATERIALIZED (SELECT node FROM {label} WHERE label = (SELECT label FROM {label} GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1))"]
+    out += [f"pv AS MATERIALIZED (SELECT node AS p FROM lc ORDER BY md5(node::VARCHAR) LIMIT {pivots})", "b0 AS MATERIALIZED (SELECT p, p AS node FROM pv)"]
+    for i in range(1, levels + 1):
+        seen = " AND ".join(f"NOT EXISTS (SELECT 1 FROM b{j} WHERE b{j}.p = x.p AND b{j}.node = x.node)" for j in range(max(0, i - 2), i))
+        out.append(f"b{i} AS MATERIALIZED (SELECT p, node FROM (SELECT DISTINCT b.p, arcs.v AS node FROM b{i - 1} b JOIN arcs ON arcs.u = b.node) x WHERE {seen})")
+    return ", ".join([*out, "dist AS (" + " UNION ALL ".join(f"SELECT p, node, {i} AS d FROM b{i}" for i in range(1, levels + 1)) + ")"])
+
+
 QUERIES = {
     "coauthor_edges": Query("u:l v:l papers:l", edges, "SELECT * FROM edges", EDGES),
     "degree": Query("node:l degree:l", lambda t: degrees(edges(t)), "SELECT node, count(*) AS degree FROM (SELECT u AS node FROM edges UNION ALL SELECT v FROM edges) GROUP BY 1", EDGES),
@@ -309,5 +324,8 @@ QUERIES = {
     "eigenvector": Query("node:l score:d", lambda t: eigenvector(edges(t)), f"SELECT node, score FROM x{POWER_ROUNDS}", f"{EDGES}, {_unrolled_power(POWER_ROUNDS)}"),
     "kcore": Query("node:l core:l", lambda t: kcore(edges(t)), f"SELECT node, core FROM k{CORE_ROUNDS}", f"{EDGES}, {_unrolled_cores(CORE_ROUNDS)}"),
     "betweenness_sampled": Query("node:l betweenness:d", lambda t: betweenness(edges(t))),
-    "closeness_sampled": Query("node:l closeness:d", lambda t: closeness(edges(t))),
+    "closeness_sampled": Query(
+        "node:l closeness:d", lambda t: closeness(edges(t)),
+        "SELECT outs.node, c.closeness FROM outs LEFT JOIN (SELECT node, ((SELECT count(*) FROM pv) - (node IN (SELECT p FROM pv))::INT)::DOUBLE / sum(d) AS closeness FROM dist GROUP BY 1) c USING (node)", f"{EDGES}, {_unrolled_distances(LEVELS)}",
+    ),
 }
