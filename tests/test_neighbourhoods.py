@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import joins, neighbourhoods
+from tessera.operators import graph, joins, neighbourhoods
 from tessera.plans.tables import Tables
 
 
@@ -32,3 +32,13 @@ def test_no_row_for_a_path(spark, sf):
     """What is dealt to tasks is lists, and none of the joins meets on the person between."""
     plan = joins.candidates(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert "via" not in plan and "MapInArrow" in plan
+
+
+def test_triangles_by_blocks(spark, monkeypatch):
+    """Two cliques with a node in common, in one block and in many pieces; no task is dealt a wedge."""
+    monkeypatch.setattr(neighbourhoods.walk, "__defaults__", (4, 6))
+    clique = lambda xs: [(a, b) for a in xs for b in xs if a < b]
+    e = spark.createDataFrame(clique(range(5)) + clique([0, 5, 6, 7]) + [(7, 8)], "u long, v long")
+    found = graph.triangles(e)
+    assert {r["node"]: r["triangles"] for r in found.collect()} == {0: 9, **dict.fromkeys(range(1, 5), 6), **dict.fromkeys(range(5, 8), 3)}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
