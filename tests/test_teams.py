@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 from tessera.functions.hashing import md5_of_pairs
-from tessera.operators import teams
+from tessera.operators import links, teams
 from tessera.plans.registry import all_queries
 from tessera.plans.tables import Tables
 
-NAMES = ["capped_candidates", "new_link_origin", "kept_after_cap", "calibration", "rank_metrics"]
+NAMES = ["capped_candidates", "new_link_origin", "kept_after_cap", "calibration", "rank_metrics", "pair_details", "link_suggestions", "negative_sample"]
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,12 @@ def test_md5_of_pairs():
     b = x.permutation(a)
     high, low = md5_of_pairs(a, b)
     assert [f"{p:016x}{q:016x}" for p, q in zip(high.tolist(), low.tolist(), strict=True)] == [hashlib.md5(f"{p}-{q}".encode()).hexdigest() for p, q in zip(a, b, strict=True)]
+
+
+@pytest.mark.parametrize("name", ["pair_details", "link_suggestions"])
+def test_said_where_found(spark, sf, con, monkeypatch, name):
+    """No join of pairs; by joins, where people are too many to be sent, the same."""
+    q = all_queries()[name]
+    assert "Join" not in q.on(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(links, "MAX_SENT", 0)
+    same([tuple(r) for r in q.on(Tables(spark, sf)).collect()], con.sql(q.sql).fetchall())
