@@ -54,7 +54,7 @@ def test_no_pair_is_written(spark, sf, monkeypatch):
     assert ((ones[:, None] > zeros).mean() + (ones[:, None] == zeros).mean() / 2) > 0.5
 
 
-@pytest.mark.parametrize("name", ["gbt_train"])
+@pytest.mark.parametrize("name", ["link_features", "gbt_train"])
 def test_rows_as_returned(spark, sf, name):
     """What a task finds is what is returned: Spark computes and rounds nothing."""
     plan = all_queries()[name].on(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
