@@ -315,45 +315,95 @@ def link_model(t: Tables, rounds: int = 20) -> DataFrame:
 
 def agglomerate(distance: np.ndarray, cut: float, size: np.ndarray | None = None) -> np.ndarray:
     """Average-linkage clusters of a distance matrix, merged while the least distance is within the cut; a row may stand for
-    ``size`` equal items."""
+    ``size`` equal items. The least of each row is kept, and looked for anew only where a merge took it."""
     n = len(distance)
-    d = distance.astype(float).copy()
+    d = np.array(distance, float)
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n) if size is None else size.astype(float), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] > cut:
+    size, label = np.ones(n) if size is None else size.astype(float), np.arange(n)
+    least = d.min(1) if n else np.zeros(0)
+    for _ in range(n - 1):
+        i = int(np.argmin(least))
+        if not least[i] <= cut:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = sorted((i, int(np.argmin(d[i]))))
         new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        took = np.minimum(d[i], d[j]) <= least
         d[i], d[:, i] = new, new
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
+        least = np.minimum(least, new)
+        least[j] = np.inf
+        took[i], took[j] = True, False
+        took &= least < np.inf
+        for r in np.flatnonzero(took):
+            least[r] = d[r].min()
         size[i] += size[j]
-        alive[j] = False
         label[label == j] = i
     return label
 
 
+#: Venues up to which sets are looked at by moments first; rows of distances that are made at once.
+MOMENTS, ROWS = 128, 256
+
+
+def one_cluster(m: np.ndarray, n: np.ndarray, cut: float) -> bool:
+    """Whether average linkage surely merges all sets (rows of 0 and 1, n equal ones each) into one cluster, without a matrix.
+
+    Of two or more clusters, the smallest leaves half of the people or more outside. The mean distance of a set to these is at most
+    its mean plus its deviation over all. Where this is within the cut for every set, it is so for the mean over the smallest
+    cluster, and some other cluster is near enough to be merged with it. First 1 - common / (size + size) is taken, which is no less
+    than the distance and whose moments come from those of the sets of each size; where that does not do, the distance itself."""
+    size, total, safe = m.sum(1), float(n.sum()), cut - 1e-4
+    todo = np.arange(len(m))
+    if m.shape[1] <= MOMENTS:
+        mean, square = np.zeros(len(m)), np.zeros(len(m))
+        for r in np.unique(size):
+            y, w = m[size == r].astype(float), n[size == r].astype(float)
+            first, second, both = w @ y, (y * w[:, None]).T @ y, size + r
+            one, two = m @ first / both, ((m @ second) * m).sum(1) / both**2
+            mean += w.sum() - one
+            square += w.sum() - 2 * one + two
+        mean /= total
+        todo = np.flatnonzero(mean + np.sqrt(np.maximum(square / total - mean**2, 0)) > safe)
+    own = n.astype(np.float32)
+    for lo in range(0, len(todo), ROWS):
+        some = todo[lo : lo + ROWS]
+        common = m[some] @ m.T
+        d = 1 - common / np.maximum(size[some][:, None] + size - common, 1)
+        mean = (d @ own) / total
+        if (mean + np.sqrt(np.maximum((d * d) @ own / total - mean**2, 0)) > safe).any():
+            return False
+    return True
+
+
+def clusters_of_sets(m: np.ndarray, n: np.ndarray, cut: float) -> np.ndarray:
+    """Average-linkage clusters of sets by the share that is not common: a label a row, that of one of the cluster's rows; the first
+    where all are one. A matrix is made only where that is not clear beforehand."""
+    if len(m) > 1 and one_cluster(m, n, cut):
+        return np.zeros(len(m), np.int64)
+    wide = m.astype(float)
+    common = wide @ wide.T
+    either = wide.sum(1)[:, None] + wide.sum(1)[None, :] - common
+    return agglomerate(1 - common / np.maximum(either, 1), cut, n)
+
+
 def cluster_blocks(t: Tables, cut: float = 0.9) -> DataFrame:
     """People of one name clustered by the share of common venues; a cluster is named by its smallest person.
 
     People with equal sets of venues are at distance 0, so that average linkage merges them first: a task gets each set once,
-    with the number of people that have it, and its matrix grows with the distinct sets of a name, not with its people."""
+    with the number of people that have it. A name whose sets surely end as one cluster takes no matrix of them."""
     own = t.authored.groupBy("person").agg(F.array_sort(F.collect_set("venue")).alias("venues")).join(t.persons.filter("page_kind = 'numbered'").select("person", "name"), "person")
+    own = stage(own, "own")
     kinds = stage(own.groupBy("name", "venues").agg(F.count("*").alias("n"), F.min("person").alias("first")), "kinds")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
-        names = sorted({v for x in pdf["venues"] for v in x})
-        at = {v: i for i, v in enumerate(names)}
-        m = np.zeros((len(pdf), len(names)))
-        for r, x in enumerate(pdf["venues"]):
-            m[r, [at[v] for v in x]] = 1
-        common = m @ m.T
-        either = m.sum(1)[:, None] + m.sum(1)[None, :] - common
+        size = pdf["venues"].map(len).to_numpy()
+        at, names = pd.factorize(np.concatenate(pdf["venues"].to_numpy()))
+        m = np.zeros((len(pdf), len(names)), np.float32)
+        m[np.repeat(np.arange(len(pdf)), size), at] = 1
         ids = pdf["first"].to_numpy()
-        label = agglomerate(1 - common / np.maximum(either, 1), cut, pdf["n"].to_numpy())
+        label = clusters_of_sets(m, pdf["n"].to_numpy(), cut)
         return pd.DataFrame({"name": pdf["name"], "venues": pdf["venues"], "cluster": ids[label]})
 
     found = kinds.groupBy("name").applyInPandas(run, "name string, venues array<string>, cluster long")
