@@ -1,6 +1,8 @@
 """Two steps from teams: small blocks and groups of anchors give the rows of the SQL, and no candidate is dealt to another task."""
 
+import gc
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 
 from tessera.functions.hashing import md5_of_pairs
 from tessera.operators import links, teams
+from tessera.plans import staging
 from tessera.plans.registry import all_queries
 from tessera.plans.tables import Tables
 
@@ -43,6 +46,27 @@ def test_no_candidate_is_dealt(spark, sf, name):
     assert "MapInArrow" in plan and "Window" not in plan and "Join" not in plan
 
 
+def test_blocks():
+    """A team is sent to fewer blocks, where there are more than enough."""
+    assert [teams.blocks(n) for n in (0, 1, 3 * teams.ARCS)] == [1, 1, 3]
+    assert teams.blocks(20 * teams.ARCS) == 20 and teams.blocks(200 * teams.ARCS) == 100
+
+
+def test_staged_leaves_no_shuffle(spark):
+    """What a table was made by goes with the writing of it."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString().count("shuffle_")
+    setting = spark.conf.get(staging.CLEANUP)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    before = files()
+    made = staging.stage(spark.range(1000).repartition(7, "id"), "few")
+    for _ in range(50):
+        if (left := files()) <= before:
+            break
+        time.sleep(0.1)
+    assert left <= before and made.count() == 1000 and spark.conf.get(staging.CLEANUP) == setting
+
+
 def test_md5_of_pairs():
     x = np.random.default_rng(0)
     a = np.concatenate([x.integers(0, 10 ** x.integers(1, 19, 300)), [0, 9, 10, 99, 10**18, 2**62, -7]]).astype(np.int64)
