@@ -67,6 +67,19 @@ def test_staged_leaves_no_shuffle(spark):
     assert left <= before and made.count() == 1000 and spark.conf.get(staging.CLEANUP) == setting
 
 
+@pytest.mark.parametrize("sizes", [(500_000, 8_000_000, 500_000), (300, 1_000, 50)])
+def test_triangles(spark, sf, con, monkeypatch, sizes):
+    """From teams, with no row for an edge."""
+    for name, x in zip(("ARCS", "HELD", "PACKED"), sizes, strict=True):
+        monkeypatch.setattr(teams, name, x)
+    written, kept, t = [], staging.new_path, Tables(spark, sf)
+    monkeypatch.setattr(staging, "new_path", lambda spark, name: written.append(name) or kept(spark, name))
+    for name in ("triangles", "local_clustering"):
+        q = all_queries()[name]
+        same([tuple(r) for r in q.on(t).collect()], con.sql(q.sql).fetchall())
+    assert sorted(written) == ["homes", "teams"]
+
+
 def test_md5_of_pairs():
     x = np.random.default_rng(0)
     a = np.concatenate([x.integers(0, 10 ** x.integers(1, 19, 300)), [0, 9, 10, 99, 10**18, 2**62, -7]]).astype(np.int64)
