@@ -40,7 +40,7 @@ def test_small_blocks(spark, sf, con, monkeypatch, sizes):
         same([tuple(r) for r in q.on(t).collect()], con.sql(q.sql).fetchall())
 
 
-@pytest.mark.parametrize("name", ["capped_candidates", "new_link_origin", "kept_after_cap", "calibration"])
+@pytest.mark.parametrize("name", ["capped_candidates", "new_link_origin", "kept_after_cap", "calibration", "negative_sample"])
 def test_no_candidate_is_dealt(spark, sf, name):
     plan = all_queries()[name].on(Tables(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Window" not in plan and "Join" not in plan
